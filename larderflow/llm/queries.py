@@ -5,19 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larderflow.llm import exact_dedup, fingerprints, license_scan, mixing, sharding
+from larderflow.llm import exact_dedup, fingerprints, language_id, license_scan, line_dedup, mixing, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
+def lines_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    out = line_dedup.dedup_lines(docs, removed="removed_lines")
+    return out.select("doc_id", "n_lines", "removed_lines", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(language_id.training_fold(docs))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", (language_id.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": lambda spark, d: exact_dedup.dedup(documents(spark, d)),
         "op4_fingerprints": lambda spark, d: fingerprints.fingerprint(documents(spark, d)),
         "op5_sharding": lambda spark, d: sharding.shard(documents(spark, d)),
+        "op6_simhash": near_duplicates,
+        "op7_line_dedup": lines_deduped,
+        "op8_language_id": languages,
         "op9_mixing": lambda spark, d: mixing.mix(documents(spark, d)),
         "op10_license_scan": lambda spark, d: license_scan.scan(documents(spark, d)),
     }

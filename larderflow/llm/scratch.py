@@ -6,6 +6,7 @@ executor then costs a re-read, never a recomputation of earlier stages.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,6 +22,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes and rows of an Arrow batch that carries texts to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 256
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Bounds what one Arrow batch holds for the jobs run inside; a longer text is a batch of its own."""
+    want = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": str(BATCH_BYTES)}
+    want = {f"spark.sql.execution.arrow.{k}": v for k, v in want.items()}
+    was = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """A folder of tables for one operator call."""
 
