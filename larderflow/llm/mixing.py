@@ -38,8 +38,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
+def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken`` and the columns ``carry``.
 
     A source's documents get hash-random keys (MD5 of seed and doc_id), are
     ranged by key and prefix-summed by size. Its target, rounded to whole words,
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (1, 2, 3), mo
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     rows = scratch.table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("key")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("key"), *carry),
         "rows",
     )
     # null-safe group key: sources are compared with a mark in front
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (1, 2, 3), mo
     rows = rows.withColumn("src", mark).withColumn(
         "block", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * BLOCKS / 2**24).cast("int")
     )
-    placed = running_total(rows.drop("source"), ["src"], "block", ["key", "size"], F.col("size"), "before")
+    placed = running_total(rows.drop("source"), ["src"], "block", ["key", "size", *carry], F.col("size"), "before")
     placed = scratch.table(placed, "placed")
     budget = plan.select(mark.alias("src"), "source_size", "target", F.round("target").cast("long").alias("budget"))
     budget = budget.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0).cast("long")))
@@ -70,5 +70,5 @@ def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (1, 2, 3), mo
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
     # plain scans on both sides: adaptive execution can split a hot source
     return placed.join(budget, "src").select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"), *carry
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm import exact_dedup, fingerprints, language_id, license_scan, line_dedup, mixing, sharding, simhash
+from larderflow.llm import exact_dedup, fingerprints, language_id, license_scan, line_dedup, mixing, packing, quality, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,17 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (language_id.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": lambda spark, d: packing.pack_documents(documents(spark, d)),
+        "op2_quality": qualities,
         "op3_exact_dedup": lambda spark, d: exact_dedup.dedup(documents(spark, d)),
         "op4_fingerprints": lambda spark, d: fingerprints.fingerprint(documents(spark, d)),
         "op5_sharding": lambda spark, d: sharding.shard(documents(spark, d)),
