@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = mine.groupBy(low.alias("__id"), group.alias("__group")).agg(F.min("key").alias("__hash")).drop("__group")
     kept = Scratch(spark, "pipeline").table(kept.distinct(), "kept")
     alike = W.partitionBy("__id", "__hash").orderBy(F.lit(1))
-    out = keyed.join(kept, ["__id", "__hash"], "left_semi").withColumn("__n", F.row_number().over(alike))
+    out = keyed.join(kept.hint("merge"), ["__id", "__hash"], "left_semi").withColumn("__n", F.row_number().over(alike))
     return out.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -64,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = taken.select(F.coalesce("doc_id", F.lit(LEAST)).alias("__id"), "__hash", F.ceil(F.col("taken") / F.col("size")).alias("__n"))
     times = Scratch(spark, "pipeline").table(times.groupBy("__id", "__hash").agg(F.sum("__n").alias("__n")), "times")
     alike = W.partitionBy("__id", "__hash").orderBy(F.lit(1))
-    out = keyed.join(times, ["__id", "__hash"]).withColumn("__row", F.row_number().over(alike)).filter("__row = 1")
+    out = keyed.join(times.hint("merge"), ["__id", "__hash"]).withColumn("__row", F.row_number().over(alike)).filter("__row = 1")
     out = out.withColumn("__copy", F.explode(F.expr("sequence(1, int(__n))")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -152,9 +152,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, removed: str | None = None
     if cut is None:
         return docs.withColumn(removed, F.lit(0)) if removed else docs
     # own names for the join, so no column of the input can clash
-    out = docs.withColumns({"__ld_k1": k1, "__ld_k2": k2}).join(
-        cut.select(F.col("k1").alias("__ld_k1"), F.col("k2").alias("__ld_k2"), F.col("cut").alias("__ld_cut")), ["__ld_k1", "__ld_k2"], "left"
-    )
+    # the cuts grow with the corpus: the same join at every size, never a broadcast
+    cut = cut.select(F.col("k1").alias("__ld_k1"), F.col("k2").alias("__ld_k2"), F.col("cut").alias("__ld_cut")).hint("merge")
+    out = docs.withColumns({"__ld_k1": k1, "__ld_k2": k2}).join(cut, ["__ld_k1", "__ld_k2"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_cut"))
     left = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
