@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,41 +33,50 @@ def unit_key(unit: Column) -> Column:
     return F.regexp_replace(F.lower(strip(F.coalesce(unit, F.lit("")))), r"s\z", "")
 
 
-def _rounded(q: Column, digits: int) -> Column:
-    """|q| to ``digits`` decimals by its exact binary value, ties to even, as a decimal.
+def _six_digits(q: Column, digits: Column) -> Column:
+    """|q| with ``digits`` decimals, rounded by its exact binary value with ties to even, as text without trailing zeros.
 
     The shortest decimal of a double may end in a 5 that its binary value isn't
     quite; then mantissa and power of two are compared with the tie in integers.
     """
-    scaled = F.abs(q).cast("decimal(38,20)") * F.lit(10**digits).cast("decimal(10,0)")
-    low = F.floor(scaled).cast("decimal(20,0)")
+    at = lambda values, kind, n: F.element_at(F.array(*[F.lit(str(v)).cast(kind) for v in values]), F.greatest(F.lit(1), F.least(F.lit(len(values)), n)))
+    ten = at([10**k for k in range(10)], "decimal(10,0)", digits + 1)
+    scaled = F.abs(q).cast("decimal(27,20)") * ten
+    low = F.floor(scaled).cast("decimal(9,0)")
     rest = scaled - low
     # |q| = m / 2^p with whole m below 2^54, for numbers between 1e-4 and 1e6
     p = (F.lit(53) - F.floor(F.log2(F.abs(q)))).cast("int")
     m = (F.abs(q) * F.pow(F.lit(2.0), p)).cast("decimal(17,0)")
-    power = F.element_at(F.array(*[F.lit(str(2**k)).cast("decimal(22,0)") for k in range(30, 72)]), F.greatest(F.lit(1), F.least(F.lit(42), p - 29)))
-    exact, tie = m * F.lit(2 * 10**digits).cast("decimal(11,0)"), (low * 2 + 1).cast("decimal(8,0)") * power
+    exact, tie = m * (ten * 2).cast("decimal(11,0)"), (low * 2 + 1).cast("decimal(10,0)") * at([2**k for k in range(30, 72)], "decimal(22,0)", p - 29)
     up = F.when(rest != 0.5, rest > 0.5).when(exact != tie, exact > tie).otherwise(low % 2 == 1)
-    return ((low + up.cast("int")) / F.lit(10**digits).cast("decimal(10,0)")).cast("decimal(38,10)")
+    number = (low.cast("bigint") + up.cast("bigint")).cast("string")
+    padded = F.lpad(number, F.greatest(F.length(number), digits + 1), F.lit("0"))
+    text = F.concat(F.substring(padded, F.lit(1), F.length(padded) - digits), F.lit("."), F.right(padded, digits))
+    return F.regexp_replace(text, r"\.?0*\z", "")
 
 
-def format_quantity(q: Column) -> Column:
-    """'' for null, integers plainly, else six significant digits without trailing zeros, with an exponent below 1e-4 or from 1e6."""
+def _exponent(q: Column) -> Column:
+    """Six digits in scientific form, for numbers below 1e-4 or from 1e6."""
     magnitude = F.floor(F.log10(F.abs(q)))
-    # rounding may carry into the next power of ten
     mantissa = F.round(q / F.pow(F.lit(10.0), magnitude), 5)
+    # rounding may carry into the next power of ten
     carried = F.abs(mantissa) >= 10
     magnitude = F.when(carried, magnitude + 1).otherwise(magnitude).cast("int")
-    mantissa = F.when(carried, mantissa / 10).otherwise(mantissa)
-    tidy = lambda s: F.regexp_replace(s, r"\.?0+\z", "")
-    sign = F.when(magnitude < 0, F.lit("-")).otherwise(F.lit("+"))
-    exponent = F.concat(tidy(mantissa.cast("decimal(20,5)").cast("string")), F.lit("e"), sign, F.lpad(F.abs(magnitude).cast("string"), 2, "0"))
-    minus = F.when(q < 0, F.lit("-")).otherwise(F.lit(""))
-    # exactly the decimals that six significant digits leave
-    plain = reduce(lambda out, m: F.when(magnitude == m, F.concat(minus, tidy(_rounded(q, 5 - m).cast("string")))).otherwise(out), range(-4, 6), exponent)
-    whole = (q == F.floor(q)) & (F.abs(q) < 1e18)
-    text = F.when(whole, q.try_cast("bigint").cast("string"))
-    return F.when(q.isNull(), F.lit("")).when(F.isnan(q), F.lit("nan")).otherwise(F.coalesce(text, plain))
+    digits = F.regexp_replace(F.when(carried, mantissa / 10).otherwise(mantissa).cast("decimal(7,5)").cast("string"), r"\.?0+\z", "")
+    return F.concat(digits, F.when(magnitude < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(magnitude).cast("string"), 2, "0"))
+
+
+def format_quantity(q: Column) -> Column:
+    """'' for null, integers plainly, else six significant digits without trailing zeros, with an exponent below 1e-4 or from 1e6."""
+    size = F.abs(q)
+    # 999999.5 and above round up to a seventh digit
+    digits = (F.lit(5) - F.floor(F.log10(size)).cast("int")).cast("int")
+    plain = F.concat(F.when(q < 0, F.lit("-")).otherwise(F.lit("")), _six_digits(q, digits))
+    whole = (q == F.floor(q)) & (size < 1e18)
+    return (
+        F.when(q.isNull(), F.lit("")).when(F.isnan(q), F.lit("nan")).when(whole, q.try_cast("bigint").cast("string"))
+        .when((size >= 1e-4) & (size < 999999.5), plain).otherwise(_exponent(q))
+    )
 
 
 def format_amount(q: Column, unit: Column) -> Column:

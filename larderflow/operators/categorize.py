@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +13,17 @@ from larderflow.functions.predicates import known_aisle
 def lookup(name: Column, cfg: C.Config = C.DEFAULT) -> Column:
     """The aisle of the longest keyword in the name as a whole word, with s or es added or not; null if there is none.
 
-    Literal patterns tested longest first stay in generated code and need no
-    join; one alternation of all keywords first drops the names that have none.
+    One literal pattern looks ahead from each word for the longest keyword that
+    starts there; shorter ones at the same place could never win. The best rank
+    among what it finds decides. No join, no branch per keyword.
     """
-    low = F.lower(name)
-    # the first that occurs, longest first; chunks keep each branch's code small
-    pattern = lambda k: rf"\b{re.escape(k)}(?:es|s)?\b"
-    chain = reduce(lambda w, p: w.when(low.rlike(pattern(p[0])), F.lit(p[1])), cfg.ranked_keywords(), F.when(F.lit(False), F.lit(None)))
-    every = "|".join(re.escape(k) for k, _ in cfg.ranked_keywords())
-    return F.when(low.rlike(rf"\b(?:{every})(?:es|s)?\b"), chain)
+    ranked = cfg.ranked_keywords()
+    pattern = rf"\b(?=({'|'.join(re.escape(k) for k, _ in ranked)})(?:es|s)?\b)"
+    ranks = F.create_map(*[F.lit(x) for i, (k, _) in enumerate(ranked, 1) for x in (k, i)])
+    hits = F.regexp_extract_all(F.lower(name), F.lit(pattern), 1)
+    # a name without keywords has one rank past the last, which is no aisle
+    best = F.array_min(F.concat(F.array(F.lit(len(ranked) + 1)), F.transform(hits, lambda k: F.try_element_at(ranks, k))))
+    return F.element_at(F.array(*[F.lit(a) for _, a in ranked], F.lit(None)), best)
 
 
 def categorize(ingredients: DataFrame, mapping: DataFrame | None = None, cfg: C.Config = C.DEFAULT) -> DataFrame:

@@ -289,7 +289,7 @@ TEXT_SQL = f""", shown AS (
   SELECT *, lag(category) OVER (PARTITION BY list_id ORDER BY place) IS DISTINCT FROM category AS opens,
          trim({FORMAT_SQL.format("quantity")} || ' ' || coalesce(unit, '')) AS amount FROM sorted_items WHERE trim(name) <> ''
 ), lines_ AS (
-  SELECT list_id, place, CASE WHEN opens THEN chr(10) || upper(category) || chr(10) ELSE '' END || '  [ ] ' ||
+  SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY place) AS place, CASE WHEN opens THEN chr(10) || upper(category) || chr(10) ELSE '' END || '  [ ] ' ||
          CASE WHEN amount <> '' THEN trim(amount || ' ' || name) ELSE name END || CASE WHEN trim(notes) <> '' THEN ' (' || notes || ')' ELSE '' END AS line, opens FROM shown
 ), links AS (SELECT DISTINCT list_id, recipe_pos, recipe, source_url FROM lens),
 body AS (SELECT list_id, string_agg(line, chr(10) ORDER BY place) AS body FROM lines_ GROUP BY 1),
