@@ -587,8 +587,8 @@ def _(spark, d):
 @query("nrm_normalise")
 def _(spark, d):
     rows = lens.line_text(lens.contributions(spark, d)).select("line").distinct()
-    line = after_references(before_references(F.concat(F.lit("1½-2 x ½ cup ($0.98) – "), F.col("line"))))
-    return rows.select("line", line.alias("normal"), F.array_join(tokenise(line), MARK).alias("tokens"))
+    rows = rows.withColumn("normal", before_references(F.concat(F.lit("1½-2 x ½ cup ($0.98) – "), F.col("line"))))
+    return after_references(rows, "normal").withColumn("tokens", F.array_join(tokenise(F.col("normal")), MARK))
 
 
 @query("tok_attributes", "SELECT DISTINCT list_extract(string_split(p_name, ' '), 1) AS token, false AS numeric, NULL::VARCHAR AS singular, regexp_replace(list_extract(string_split(p_name, ' '), 1), '[a-z]', 'x', 'g') AS shape, NULL::DOUBLE AS value, NULL::VARCHAR AS canonical FROM part")
