@@ -606,21 +606,21 @@ def _(spark, d):
     return parse.parse_lines(rows).select("recipe_pos", "line_pos", "name", "quantity", "unit")
 
 
-@query("pip_build_list")
-def _(spark, d):
-    found = pages.read_pages(lens.pages(spark, d))
-    recipes = found.select(
-        (F.col("recipe_id") % 500).alias("list_id"), F.col("recipe_id").alias("recipe_pos"), urls.display_name(F.col("title"), F.col("source_url"), F.lit(None)).alias("recipe"),
-        "source_url", "ingredient_lines", "raw_text", "ingest_error",
+def recipes(spark, d):
+    """Recipes with structured lines; every fifth has them in readable text instead."""
+    rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> ''")
+    found = F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line"))), lambda x: x["line"])
+    grouped = rows.groupBy("list_id", "recipe_pos", "recipe", "source_url").agg(found.alias("found"))
+    none, text = F.array().cast("array<string>"), F.col("recipe_pos") % 5 == 4
+    return grouped.select(
+        "list_id", "recipe_pos", "recipe", "source_url", F.when(text, none).otherwise(F.col("found")).alias("ingredient_lines"),
+        F.when(text, F.concat(F.lit("Ingredients\n"), F.array_join("found", "\n"))).otherwise(F.lit("")).alias("raw_text"),
     )
-    return flat(pipeline.build_list(recipes))
 
 
-@query("pip_build_list_mobile")
+@query("pip_build_list")
 def _(spark, d):
-    found = pages.read_pages(lens.pages(spark, d))
-    recipes = found.select((F.col("recipe_id") % 500).alias("list_id"), F.col("recipe_id").alias("recipe_pos"), F.col("title").alias("recipe"), "source_url", "ingredient_lines", "raw_text", "ingest_error")
-    return flat(pipeline.build_list(recipes, C.Config.mobile()))
+    return flat(pipeline.build_list(recipes(spark, d)))
 
 
 @query("str_event_rates", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value::DECIMAL(38,6))::DOUBLE, 4) AS total FROM events GROUP BY ALL")

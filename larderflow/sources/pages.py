@@ -6,6 +6,7 @@ import html
 import json
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -57,6 +58,8 @@ def recipe_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     what is still open; a path of positions orders the finds.
     """
     blocks = pages.select(id_col, F.posexplode(jsonld_blocks(F.col(html_col))).alias("b", "raw"))
+    # every level reads the blocks again; scanning the pages for them is the costly part
+    blocks = blocks.persist(StorageLevel.DISK_ONLY)
     level = blocks.select(id_col, F.array("b").alias("path"), F.try_parse_json("raw").alias("node")).filter("node is not null")
     found = None
     for _ in range(DEPTH):
@@ -128,7 +131,8 @@ def read_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     raw = unescape(raw, "title", "line").withColumn("line", strip(F.col("line")))
     lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("i", "line")))), lambda x: x["line"])
     structured = raw.groupBy(id_col).agg(F.max(strip(F.col("title"))).alias("title"), F.max("servings").alias("servings"), lines.alias("lines"))
-    structured = structured.filter(F.size("lines") > 0)
+    # read by both tiers
+    structured = structured.filter(F.size("lines") > 0).persist(StorageLevel.DISK_ONLY)
     page = pages.select(F.col(id_col), F.col(url_col).alias("source_url"), F.col(html_col).alias("__html"))
     tier1 = page.drop("__html").join(structured, id_col)
     tier1 = tier1.select(
