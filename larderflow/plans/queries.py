@@ -18,7 +18,7 @@ from larderflow.functions.normalise import after_references, before_references,
 from larderflow.functions.predicates import is_candidate, is_heading, is_next_section, is_noise, is_temperature, strip_bullet
 from larderflow.operators import categorize as cat
 from larderflow.operators import combine as comb
-from larderflow.operators import evaluate, export, lines, parse, sequences
+from larderflow.operators import evaluate, export, labelled, labelling, lines, parse, sequences
 from larderflow.plans import lens, pipeline
 from larderflow.sources import pages, urls
 from larderflow.streaming.ingest import event_rates
@@ -606,6 +606,21 @@ def _(spark, d):
     return parse.parse_lines(rows).select("recipe_pos", "line_pos", "name", "quantity", "unit")
 
 
+@query("lab_label_lines")
+def _(spark, d):
+    out = labelling.label_lines(lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> ''"))
+    return flat(out.withColumn("confidences", F.transform("confidences", lambda p: F.format_number(p, 4))))
+
+
+@query("par_parse_labelled", PAGE_LINES + """, r AS (SELECT recipe_pos, line_pos, trim(name) AS name, CASE WHEN quantity = floor(quantity) AND quantity > 0 THEN quantity END AS q, unit AS u FROM lens WHERE trim(name) <> '')
+SELECT recipe_pos, line_pos, name, CASE WHEN q IS NOT NULL THEN q WHEN u IN ('cup', 'clove') THEN 1 END AS quantity,
+CASE WHEN u IN ('cup', 'cups') THEN 'cup' WHEN u = 'g' THEN 'gram' WHEN u IN ('clove', 'cloves') THEN CASE WHEN q IS NULL THEN u WHEN q = 1 THEN 'clove' ELSE 'cloves' END END AS unit
+FROM r WHERE name NOT LIKE '% and %'""")
+def _(spark, d):
+    rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> '' and name not like '% and %'").select("recipe_pos", "line_pos", "line")
+    return labelled.parse_labelled(rows).select("recipe_pos", "line_pos", "name", "quantity", "unit")
+
+
 def recipes(spark, d):
     """Recipes with structured lines; every fifth has them in readable text instead."""
     rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> ''")
