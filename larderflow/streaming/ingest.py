@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from larderflow import config as C
 from larderflow.operators.combine import combine
+from larderflow.operators.labelling import Labeller
 from larderflow.plans.pipeline import extract
 
 BUCKETS = 16
@@ -23,7 +24,7 @@ def list_bucket(list_id):
     return F.pmod(F.xxhash64(list_id), F.lit(BUCKETS)).cast("int")
 
 
-def stream_contributions(spark: SparkSession, path: str, schema, store: str, checkpoint: str, cfg: C.Config = C.DEFAULT) -> StreamingQuery:
+def stream_contributions(spark: SparkSession, path: str, schema, store: str, checkpoint: str, cfg: C.Config = C.DEFAULT, labeller: Labeller | None = None) -> StreamingQuery:
     """Reads recipes that arrive as JSON files below ``path`` and appends their ingredients to ``store``.
 
     The store is partitioned by a hash of the list and by batch; a batch that is
@@ -31,7 +32,7 @@ def stream_contributions(spark: SparkSession, path: str, schema, store: str, che
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = extract(batch, cfg).withColumn("bucket", list_bucket("list_id"))
+        rows = extract(batch, cfg, labeller=labeller).withColumn("bucket", list_bucket("list_id"))
         # a folder per batch and bucket: rerunning the batch writes the same folders again
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
 
