@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larderflow.llm import language_id, line_dedup, mixing, packing, simhash
+from larderflow.llm import language_id, likeness, line_dedup, mixing, packing
 from larderflow.llm.queries import documents
 from larderflow.llm.scratch import Scratch
 
@@ -40,13 +40,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the least doc_id, of its rows the least row hash."""
+    """Keeps one document of each group of near-duplicates: the least doc_id, of its rows the least row hash.
+
+    Near-duplicates are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     keyed = docs.withColumns(_identity(docs))
-    found = simhash.near_duplicates(keyed, keys="__hash")
+    found = likeness.near_duplicates(keyed, keys="__hash")
     low = F.coalesce(F.col("component_id"), F.lit(LEAST))
     mine = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a document without any id in reach is a group of its fingerprint
-    group = F.when(F.col("component_id").isNull(), F.col("print")).otherwise(F.lit(0))
+    # a document without any id in reach is a group of its label
+    group = F.when(F.col("component_id").isNull(), F.col("label")).otherwise(F.lit(0))
     kept = mine.groupBy(low.alias("__id"), group.alias("__group")).agg(F.min("key").alias("__hash")).drop("__group")
     kept = Scratch(spark, "pipeline").table(kept.distinct(), "kept")
     alike = W.partitionBy("__id", "__hash").orderBy(F.lit(1))

@@ -1,12 +1,13 @@
 import collections
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
 from tests.llm import cases
 
-from larderflow.llm import line_dedup, simhash
+from larderflow.llm import likeness, line_dedup, simhash
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +126,64 @@ def test_line_dedup(spark, min_words, seed):
     want = sorted((r[0] is None, r[0] or 0, *(want[r[0], r[1]] if r[1] is not None else ("null", 0))) for r in rows)
     got = out.select("doc_id", "text", "removed").collect()
     assert sorted((g.doc_id is None, g.doc_id or 0, "null" if g.text is None else g.text, g.removed) for g in got) == want
+
+
+def brute_likeness(rows, width=5):
+    """Labels by comparing all pairs of texts on their shingles themselves."""
+    sets = []
+    for r in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def near_copies(n=40, words=120):
+    """Texts at all similarities around 0.8, in chains and stars; first two that share exactly 4 of 5 shingles, then two that share fewer."""
+    rng = np.random.default_rng(5)
+    out = [" ".join(f"e{i}" for i in range(40)), " ".join(f"e{i}" for i in range(36)) + " x0 x1 x2 x3"]
+    out += [" ".join(f"f{i}" for i in range(40)), " ".join(f"f{i}" for i in range(35)) + " y0 y1 y2 y3 y4"]
+    for base in range(4):
+        text = [f"w{base}_{i}" for i in range(words)]
+        for _ in range(n):
+            copy = text.copy()
+            for at in rng.integers(0, words, rng.integers(0, 8)):
+                copy[at] = f"z{rng.integers(10**9)}"
+            out.append(" ".join(copy))
+    return [cases.doc(5000 + i, t) for i, t in enumerate(out)]
+
+
+def test_likeness_links_all_that_brute_force_links(spark, rows):
+    rows = rows + near_copies()
+    docs = cases.table(spark, [(*r[:4], i) for i, r in enumerate(rows)])
+    got = {g.key: g for g in likeness.near_duplicates(docs, keys="n_chars").collect()}
+    assert sorted(got) == list(range(len(rows)))
+    want, ours, theirs = brute_likeness(rows), collections.defaultdict(set), collections.defaultdict(set)
+    for i, label in enumerate(want):
+        ours[got[i].label].add(i)
+        theirs[label].add(i)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+    for members in theirs.values():
+        assert {got[i].component_id for i in members} == {min((rows[i][0] for i in members if rows[i][0] is not None), default=None)}
+    sizes = sorted(len(m) for m in theirs.values() if rows[min(m)][0] and 5000 <= rows[min(m)][0] < 6000)
+    assert sizes[0] == 1 and sizes[-1] > 10
+
+
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    a, b, c, d = near_copies(0)[:4]
+    kept = corpus_pipeline.near_duplicates(spark, cases.table(spark, [a, b, c, d]), "").collect()
+    assert sorted(r.doc_id for r in kept) == [a[0], c[0], d[0]]
+
+
+def test_likeness_of_nothing(spark):
+    assert likeness.near_duplicates(cases.table(spark, []), keys="n_chars").collect() == []
