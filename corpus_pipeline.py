@@ -46,12 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     keyed = docs.withColumns(_identity(docs))
     found = likeness.near_duplicates(keyed, keys="__hash")
-    low = F.coalesce(F.col("component_id"), F.lit(LEAST))
-    mine = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a document without any id in reach is a group of its label
-    group = F.when(F.col("component_id").isNull(), F.col("label")).otherwise(F.lit(0))
-    kept = mine.groupBy(low.alias("__id"), group.alias("__group")).agg(F.min("key").alias("__hash")).drop("__group")
-    kept = Scratch(spark, "pipeline").table(kept.distinct(), "kept")
+    # a group is named by its label, as doc_ids may repeat
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = found.groupBy("label").agg(first).select(F.coalesce("first.doc_id", F.lit(LEAST)).alias("__id"), F.col("first.key").alias("__hash"))
+    kept = Scratch(spark, "pipeline").table(kept, "kept")
     alike = W.partitionBy("__id", "__hash").orderBy(F.lit(1))
     out = keyed.join(kept.hint("merge"), ["__id", "__hash"], "left_semi").withColumn("__n", F.row_number().over(alike))
     return out.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

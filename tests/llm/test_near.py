@@ -187,3 +187,10 @@ def test_pipeline_drops_copies_at_four_fifths(spark):
 
 def test_likeness_of_nothing(spark):
     assert likeness.near_duplicates(cases.table(spark, []), keys="n_chars").collect() == []
+
+
+def test_pipeline_keeps_unlike_groups_of_one_id(spark):
+    a, b, c, d = near_copies(0)[:4]
+    rows = [cases.doc(1, a[1]), cases.doc(2, b[1]), cases.doc(1, c[1]), cases.doc(3, c[1] + " "), cases.doc(None, d[1])]
+    kept = corpus_pipeline.near_duplicates(spark, cases.table(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a[1]), (1, c[1]), (0, d[1])])
