@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import re
 import unicodedata
 
 import numpy as np
@@ -176,3 +177,47 @@ def test_licenses(spark, rows):
     assert (got[9002].license, got[9002].n_notices, got[9002].line_licenses) == (None, 2, "Apache-2.0,MIT")
     assert got[9005].canonical_sha256 == hashlib.sha256(b"").hexdigest() and got[9005].license is None
     assert all(g.license is None and g.n_notices == 0 for i, g in got.items() if i is None or i < 9000)
+
+
+def test_licenses_known_by_full_text(spark):
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    assert set(texts) == set(license_scan.FILES)
+    full = list(texts.items()) + list((license_scan.TEXTS | license_scan.MORE_TEXTS).items())
+    full += [("GPL-2.0-only", texts["GPL-2.0-only"].split("How to Apply These Terms")[0]), ("Apache-2.0", texts["Apache-2.0"].split("APPENDIX")[0])]
+    bsd = """Copyright (c) 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+    third = "\n* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.\n"
+    full += [("BSD-2-Clause", bsd.format("")), ("BSD-3-Clause", bsd.format(third).replace("* Redistributions of", "1. Redistributions of").replace("* Redistributions in", "2. Redistributions in").replace("* Neither", "3. Neither"))]
+    indent = lambda header: re.sub("^    ", "", header, flags=re.M)
+    gpl3 = texts["GPL-3.0-only"]
+    at = gpl3.index("    This program is free software: you can")
+    full.append(("GPL-3.0-or-later", "Copyright (C) 2020 A Person\n\n" + indent(gpl3[at : gpl3.index("\n\nAlso add information", at)])))
+    mpl = texts["MPL-2.0"]
+    full.append(("MPL-2.0", mpl[mpl.index("  This Source Code Form is subject to the terms of") : mpl.index("If it is not possible or desirable")]))
+    got = {g.doc_id: g.license for g in license_scan.scan(cases.table(spark, [cases.doc(i, t) for i, (_, t) in enumerate(full)])).collect()}
+    assert [(key, got[i]) for i, (key, _) in enumerate(full)] == [(key, key) for key, _ in full]
