@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ def static(method: str, *args: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only; null counts as empty."""
-    return static("com.ibm.icu.impl.locale.AsciiUtil.toLowerString", F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    # of ASCII, lower() changes nothing else, and it works on bytes
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
 def n_words(text: Column) -> Column:
