@@ -18,19 +18,68 @@ from larderflow.llm.ordering import key_block, running_total
 from larderflow.llm.scratch import Scratch
 
 
+#: Counts below which numpy draws (it refuses 10**9 and more), and how many standard deviations the sampler for greater ones looks at.
+NUMPY_TOTAL, REACH = 10**9, 12
+
+
+def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """How many of ``draws`` without replacement are good, for counts of any size.
+
+    Large counts are drawn by inversion: the probabilities relative to the mode's
+    are running products of the law's own ratios, over all values within REACH
+    standard deviations (beyond lies less than 1e-30).
+    """
+    total = good + bad
+    if total < NUMPY_TOTAL:
+        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
+    least, most = max(0, draws - bad), min(draws, good)
+    mode = min(most, max(least, (draws + 1) * (good + 1) // (total + 2)))
+    spread = draws / total * good * (bad / total) * (total - draws) / (total - 1)
+    reach = int(REACH * spread**0.5) + 32
+    low, high = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    # p(k + 1) / p(k)
+    logs = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    p = np.concatenate([[0.0], np.cumsum(logs)])
+    p = np.exp(p - p.max())
+    sums = np.cumsum(p)
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def _deal(sizes: list[int], draws: int, rng: np.random.Generator) -> list[int]:
+    """How many of ``draws`` places taken without replacement fall in each shard with that many places left."""
+    total = sum(sizes)
+    if total < NUMPY_TOTAL:
+        return rng.multivariate_hypergeometric(sizes, draws, method="marginals").tolist() if total else [0] * len(sizes)
+    out = []
+    for size in sizes:
+        total -= size
+        out.append(hypergeometric(size, total, draws, rng))
+        draws -= out[-1]
+    return out
+
+
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Partitions x shards, with row sums ``counts`` and column sums at most one apart.
 
-    Column j gets its rows from what the partitions still hold: drawing shards
-    one after another without replacement is the multivariate hypergeometric law.
+    All places of all shards are dealt to the first and the second half of the
+    partitions, each half's to its halves, and so on: each step draws without
+    replacement, so the whole matrix has the multivariate hypergeometric law. The
+    great counts are all in the first few steps.
     """
-    rng = np.random.default_rng(seed)
-    left, total = np.array(counts, dtype=np.int64), int(sum(counts))
+    rng, total = np.random.default_rng(seed), int(sum(counts))
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     out = np.zeros((len(counts), shards), dtype=np.int64)
-    for s, size in enumerate(sizes):
-        out[:, s] = rng.multivariate_hypergeometric(left, size, method="marginals") if size else 0
-        left -= out[:, s]
+    before = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
+    todo = [(0, len(counts), sizes)] if counts else []
+    while todo:
+        first, last, sizes = todo.pop()
+        if last - first == 1:
+            out[first] = sizes
+            continue
+        half = (first + last) // 2
+        left = _deal(sizes, int(before[half] - before[first]), rng)
+        todo += [(first, half, left), (half, last, [a - b for a, b in zip(sizes, left, strict=True)])]
     return out
 
 
@@ -42,6 +91,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:
     (null: of none). ``slot`` counts from 0 without gaps in each shard. Rows are
     told apart by their place in the input, so ties, repeated rows and null ids
     need no rule; equal texts spread like any rows. An empty table gives no rows.
+    Equal texts, being rows of their own under this law, are not held together.
     Only ids, sizes and checksums move; the texts stay where they are. The driver
     holds partitions x shards counts and nothing that grows with the rows.
     """
@@ -76,6 +126,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:
     )
     second = F.xxhash64(F.lit(seed + 1), "row")
     dealt = scratch.table(dealt.withColumn("key", second).withColumn("block", key_block(F.col("key"))), "dealt")
+    scratch.drop("rows")
     slots = running_total(dealt, ["shard"], "block", ["key", "row"], F.lit(1).cast("long"), "slot")
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
