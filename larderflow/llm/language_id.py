@@ -114,13 +114,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     Document frequencies count every such row; weights come from at most
     ``per_language`` documents of each language, the temperature from a fifth of
-    those. Rows of one doc_id are sampled once. A table without labels gives a
+    those. At most MOST_LABELS languages are learnt, the most frequent ones, so
+    the model and what is broadcast are bounded. A doc_id that occurs under
+    several languages has the least of them, and of its texts in that language
+    the one with the least hash is looked at. A table without labels gives a
     model without languages, which answers ``und``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     sample = sample_ids(docs, "lang", per_language)
-    count, frequency, found = gather(docs, features, DIMS, sample, Scratch(docs.sparkSession, "language-id"))
+    count, frequency, found = gather(docs, features, DIMS, sample, Scratch(docs.sparkSession, "language-id"), label="lang")
     idf = np.log((1 + count) / (1 + frequency)) + 1
     languages = sorted(set(sample.values()))
     ids = sorted(i for i in found if len(found[i][0]))

@@ -21,7 +21,6 @@ from larderflow.llm.gather import fold, gather, sample_ids
 from larderflow.llm.scratch import Scratch, arrow_batches
 
 BITS = 13
-DIMS = 1 << BITS
 #: Labelled documents of each label that the model may hold; what is broadcast is bounded by it.
 PER_LABEL = 1024
 RANK = 48
@@ -30,9 +29,11 @@ NEIGHBOURS = 32
 SHARPNESS = 8
 #: Score from which label 1 is predicted.
 THRESHOLD = 0.3
-#: Features set aside for the share of words that repeat the word before, in each of these ranges; several, to weigh more.
+#: Features of their own, after the hashed ones, for the share of words that repeat the word before from each of these on; several, to weigh more.
 REPEAT_FROM = (0.02, 0.1, 0.4)
 REPEAT_FEATURES = 16
+HASHED = 1 << BITS
+DIMS = HASHED + len(REPEAT_FROM) * REPEAT_FEATURES
 
 
 def _shapes() -> np.ndarray:
@@ -62,7 +63,7 @@ def features(raw: bytes) -> np.ndarray:
     words = raw.split()
     share = sum(map(bytes.__eq__, words[1:], words)) / max(1, len(words))
     for k, least in enumerate(REPEAT_FROM):
-        counts[k * REPEAT_FEATURES : (k + 1) * REPEAT_FEATURES] = len(raw) if share >= least else 0
+        counts[HASHED + k * REPEAT_FEATURES : HASHED + (k + 1) * REPEAT_FEATURES] = len(raw) if share >= least else 0
     return counts
 
 
@@ -111,8 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 
     Document frequencies count every row of ``docs``. The labelled vectors are
     at most ``per_label`` documents of each label. Their shares do not follow
-    the labels' if a bound is met, so votes are weighted back to them. Rows
-    without id or label teach nothing; without any, every score is 0.5.
+    the labels' if a bound is met, so votes are weighted back to them. A doc_id
+    with both labels has label 0, and of its texts the one with the least hash is
+    looked at. Rows without id or label teach nothing; without any, every score
+    is 0.5.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
