@@ -41,34 +41,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, source_size, target, taken`` and the columns ``carry``.
 
-    A source's documents get hash-random keys (MD5 of seed and doc_id), are
-    ranged by key and prefix-summed by size. Its target, rounded to whole words,
+    A source's documents get hash-random keys (MD5 of seed, doc_id and text, so
+    rows that share an id or have none spread as well), are ranged by key and
+    prefix-summed by size. Its target, rounded to whole words,
     is taken in epochs: as many whole passes as fit, then the documents in key
     order up to the rest; the document on the cut gives only the words before
     it, so a source's ``taken`` sum to its target exactly. Documents without
     words take none. Null text has no words, null sources form one source, rows
-    with the same key are ordered by size and then are alike. Results depend
-    only on the rows. An empty table gives no rows.
+    with the same key are ordered by ``carry`` and then are alike. Results depend
+    only on the rows. An empty table gives no rows. ``carry`` may not name a
+    column that the result has already, nor one that starts with two underscores.
+    The windows of ``targets`` read one row per source in one task.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
     rows = scratch.table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("key"), *carry),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("__key"),
+                    *[F.col(c).alias(f"__carry_{c}") for c in carry]),
         "rows",
     )
+    kept = [f"__carry_{c}" for c in carry]
     # null-safe group key: sources are compared with a mark in front
     mark = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     plan = scratch.table(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "plan")
-    rows = rows.withColumn("src", mark).withColumn(
-        "block", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * BLOCKS / 2**24).cast("int")
+    rows = rows.withColumn("__src", mark).withColumn(
+        "__block", (F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") * BLOCKS / 2**24).cast("int")
     )
-    placed = running_total(rows.drop("source"), ["src"], "block", ["key", "size", *carry], F.col("size"), "before")
+    placed = running_total(rows.drop("source"), ["__src"], "__block", ["__key", "size", *kept], F.col("size"), "before")
     placed = scratch.table(placed, "placed")
-    budget = plan.select(mark.alias("src"), "source_size", "target", F.round("target").cast("long").alias("budget"))
+    budget = plan.select(mark.alias("__src"), "source_size", "target", F.round("target").cast("long").alias("budget"))
     budget = budget.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0).cast("long")))
     budget = budget.withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_size"))
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
     # plain scans on both sides: adaptive execution can split a hot source
-    return placed.join(budget, "src").select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"), *carry
+    return placed.join(budget, "__src").select(
+        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"), *[F.col(k).alias(c) for k, c in zip(kept, carry, strict=True)]
     )

@@ -67,7 +67,7 @@ FROM r WINDOW g AS (PARTITION BY text_sha256)
 MIXING = """
 WITH RECURSIVE r AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         md5('5:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('5:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
