@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's checkpoint folder. Where none is set, a temporary one in local mode and an error on a cluster."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="larderflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,12 +43,40 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders made inside each open ``released`` block, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Deletes the folders that operators make inside the block when it ends; write their results elsewhere before."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 class Scratch:
-    """A folder of tables for one operator call."""
+    """A folder of tables for one operator call.
+
+    Tables that no later read needs are dropped as soon as they are read; those
+    a result reads last stay until the caller's ``released`` block ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        if _OPEN:
+            _OPEN[-1].append(self.path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns the table read back, with the schema that was written."""
@@ -56,7 +86,5 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Frees tables that no later read needs."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.path}/{name}")
