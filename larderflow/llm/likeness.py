@@ -1,15 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-No fingerprint stands between a pair and its comparison. In any one order of all
-shingles, two sets that are alike enough share a shingle among the first few of
-each (prefix filter), so pairs are sought in the buckets of those shingles only.
-The order puts shingles that are frequent in a sample last, which keeps buckets
-small; links don't depend on it. Two bounds on the overlap, from the places of
-the shared shingle and from parity bitmaps, drop pairs that can't be alike; the
-rest have their sets intersected. One round compares each member of a bucket with
-a member drawn at random, the next all pairs that are not in one group by then,
-so a large group of near copies costs few of its pairs and no link is lost.
-"""
+"""Similarity of texts as sets of word shingles: what SimHash links are checked against."""
 
 from __future__ import annotations
 
@@ -21,21 +10,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larderflow.llm.components import components
 from larderflow.llm.scratch import Scratch, arrow_batches
 
 WIDTH = 5
 #: Least Jaccard similarity of near-duplicates, as a fraction.
 LEAST = (4, 5)
-#: Documents, about, and shingles of them that the order looks at. They bear on speed, not on links.
-SAMPLE, FREQUENT = 20_000, 100_000
-#: Bits of a parity bitmap.
-BITS = 1024
+#: 64-bit words of a parity bitmap.
+BITMAP = 8
 
 
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted 64-bit hashes of the word shingles of a UTF-8 text; a shorter text is one shingle, one without words has none."""
-    words = raw.lower().split()  # as in simhash
+    words = raw.lower().split()  # on bytes: A to Z, and exactly space and tab to carriage return
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
@@ -47,140 +33,50 @@ def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first)))
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
-    """The first shingles in the order (frequency, hash): as many as a set must have for one to be shared with any set alike enough."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(frequent[at] == hashes, counts[at], 0)))]
-    p, q = least
-    return hashes[: len(hashes) - -(-p * len(hashes) // q) + 1] if len(hashes) else hashes
-
-
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bit b is the parity of the hashes that are b modulo BITS; two bitmaps never differ in more bits than the sets in members."""
-    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    """Bit b is the parity of the hashes that are b modulo the bits; two bitmaps never differ in more bits than the sets in members."""
+    odd = np.bincount((hashes % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+def set_name(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    h = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+    return h - 2**64 if h >= 2**63 else h
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary()))
 
 
-def _sets(width: int):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([_lists([shingles(t, width) for t in _texts(b)])], ["hashes"])
-
-    return over
-
-
-def _named(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], pa.uint64()).view(pa.int64())
-
-
 def _members(width: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, width) for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays([_named(sets), _lists(sets)], ["set", "hashes"])
-
-    return over
-
-
-def _heads(width: int, least: tuple[int, int], frequent: np.ndarray, counts: np.ndarray):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, width) for t in _texts(b)]
-            columns = [b.column("doc_id"), b.column("key"), _named(sets), pa.array([len(s) for s in sets], pa.int64())]
-            columns += [_lists([prefix(s, frequent, counts, least) for s in sets]), _lists([bitmap(s).view(np.uint64) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "set", "n", "head", "bits"])
+            sets = [shingles(t, width) for t in texts(b)]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), lists], ["set", "hashes"])
 
     return over
 
 
-def _frequent(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that are in three documents of the sample or more, and in how many; FREQUENT at most, whatever the input is."""
-    every = max(1, slim.count() // SAMPLE)
-    sample = slim.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    found = sample.mapInArrow(_sets(width), "hashes array<long>").select(F.explode("hashes").alias("hash"))
-    found = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
-    hashes, counts = np.array([r.hash for r in found], dtype=np.int64).view(np.uint64), np.array([r.n for r in found], dtype=np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
+def verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, width: int, least: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs ``u, v`` (names of sets) whose similarity is ``least`` or more.
 
-def _verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, width: int, least: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs ``u, v`` (sets) whose similarity is ``least`` or more."""
+    ``nodes`` (set, key) names for each set a row of ``slim`` (key, text) that
+    has it; only the texts of sets in pairs are read into shingles again.
+    """
     p, q = least
-    side = lambda s: nodes.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
-    apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    # the overlap is (n_u + n_v - members that differ) / 2
-    both = both.filter((p + q) * (F.col("n_u") + F.col("n_v") - apart) >= 2 * p * (F.col("n_u") + F.col("n_v")))
-    both = scratch.table(both.select("u", "v", "n_u", "n_v"), f"{name}-near")
-    ends = both.select(F.col("u").alias("set")).union(both.select(F.col("v").alias("set"))).distinct()
+    pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
+    ends = pairs.select(F.col("u").alias("set")).union(pairs.select(F.col("v").alias("set"))).distinct()
     keys = scratch.table(nodes.join(ends, "set").select("key").distinct(), f"{name}-keys")
     with arrow_batches(slim.sparkSession):
         sets = slim.join(keys, "key", "left_semi").select("text").mapInArrow(_members(width), "set long, hashes array<long>")
         sets = scratch.table(sets.groupBy("set").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
     side = lambda s: sets.select(F.col("set").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-    shared = F.size(F.array_intersect("hashes_u", "hashes_v"))
-    out = both.join(side("u"), "u").join(side("v"), "v").filter((p + q) * shared >= p * (F.col("n_u") + F.col("n_v")))
+    shared, both = F.size(F.array_intersect("hashes_u", "hashes_v")), F.size("hashes_u") + F.size("hashes_v")
+    out = pairs.join(side("u"), "u").join(side("v"), "v").filter((p + q) * shared >= p * both)
     out = scratch.table(out.select("u", "v"), name)
-    scratch.drop(f"{name}-near", f"{name}-keys", f"{name}-sets")
+    scratch.drop(f"{name}-pairs", f"{name}-keys", f"{name}-sets")
     return out
-
-
-def near_duplicates(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, key, label, component_id``.
-
-    Documents link if their sets of ``width``-word shingles have a Jaccard
-    similarity of ``least`` or more, sets being equal if their 64-bit hashes are.
-    ``label`` names a component of links, and ``component_id`` is its least
-    doc_id (null if no document there has an id). Null text and text without
-    words are alike, and unlike any other. ``keys`` names a long column that
-    tells unlike rows of ``docs`` apart. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "likeness")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(keys).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    p, q = least
-    with arrow_batches(spark):
-        frequent, counts = _frequent(slim, width)
-        schema = "doc_id long, key long, set long, n long, head array<long>, bits array<long>"
-        heads = scratch.table(slim.mapInArrow(_heads(width, least, frequent, counts), schema), "heads")
-    nodes = heads.groupBy("set").agg(*[F.min(c).alias(c) for c in ("doc_id", "key", "n")], *[F.first(c).alias(c) for c in ("head", "bits")])
-    nodes = scratch.table(nodes, "nodes")
-    members = scratch.table(heads.select("doc_id", "key", "set"), "members")
-    scratch.drop("heads")
-    placed = nodes.select("set", "n", F.posexplode("head").alias("at", "hash"))
-    many = placed.groupBy("hash").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("hash")
-    buckets = scratch.table(placed.join(many, "hash"), "buckets")
-    # of the first shingle that two sets share, all others that they share lie behind
-    fits = F.expr(f"{p + q} * least(n - at, n_v - at_v) >= {p} * (n + n_v)")
-    drawn = buckets.groupBy("hash").agg(F.min_by(F.struct("set", "n", "at"), F.xxhash64("set", "hash")).alias("c"))
-    drawn = drawn.select("hash", F.col("c.set").alias("v"), F.col("c.n").alias("n_v"), F.col("c.at").alias("at_v"))
-    pairs = buckets.join(drawn, "hash").filter(fits & (F.col("set") != F.col("v")))
-    pairs = pairs.select(F.least("set", "v").alias("u"), F.greatest("set", "v").alias("v"))
-    first = _verified(pairs, nodes, slim, width, least, scratch, "drawn")
-    labels = components(first, scratch).withColumnRenamed("u", "set")
-    marked = buckets.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    marked = scratch.table(marked, "marked")
-    mixed = marked.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("hash")
-    marked = scratch.table(marked.join(mixed, "hash"), "mixed")
-    other = marked.select("hash", F.col("set").alias("v"), F.col("n").alias("n_v"), F.col("at").alias("at_v"), F.col("label").alias("label_v"))
-    pairs = marked.join(other, (marked["hash"] == other["hash"]) & (F.col("set") < F.col("v")) & (F.col("label") != F.col("label_v")) & fits)
-    second = _verified(pairs.select(F.col("set").alias("u"), "v"), nodes, slim, width, least, scratch, "rest")
-    labels = components(first.union(second), scratch).withColumnRenamed("u", "set")
-    named = nodes.select("set", "doc_id").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    named = scratch.table(named, "named")
-    lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = scratch.table(named.join(lowest, "label").select("set", "label", "component_id"), "found")
-    scratch.drop("nodes", "buckets", "marked", "mixed", "named")
-    # plain scans on both sides: adaptive execution can split a set of many copies
-    return members.join(found, "set").select("doc_id", "key", "label", "component_id")

@@ -8,6 +8,11 @@ whose bit counts in four quarters differ beyond the radius; both skips are
 exact, as each differing bit changes one count by one. A pair of tiles returns a
 spanning forest of its links, so a group of thousands of near copies yields as
 many edges as it has members, and no component loses a link.
+
+``near_duplicates`` links by the fingerprints alone. ``similar`` finds documents
+of a given Jaccard similarity: wider fingerprints and a radius that such pairs
+stay within give candidates, whose sets of shingles are then compared. At that
+radius few tiles can be skipped, so it compares about all pairs of fingerprints.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.llm.components import components
+from larderflow.llm.likeness import BITMAP, LEAST, WIDTH, bitmap, set_name, shingles, texts, verified
 from larderflow.llm.scratch import Scratch, arrow_batches
 
 RADIUS = 3
@@ -184,5 +190,192 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, keys: str | None = No
     return prints.join(found, "print").select("doc_id", "key", "print", "component_id")
 
 
+# --- near-duplicates of a given Jaccard similarity ---------------------------
+
+#: 64-bit words of a wide fingerprint, and the radius within which pairs are checked. Sets of Jaccard similarity 0.8 are
+#: expected to differ in 19 of 128 bits (standard deviation 4), the smallest ones in 24, and unlike sets in 64.
+WORDS, WIDE_RADIUS = 2, 44
+
+
+def wide_print(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A fingerprint of ``words`` x 64 bits: a bit is 1 if set in over half the hashes, which are mixed anew for each word but the first."""
+    out = np.zeros(words, dtype=np.uint64)
+    for w in range(words if len(hashes) else 0):
+        if w:  # the finaliser of MurmurHash3, a fixed bijection
+            hashes = hashes ^ (hashes >> np.uint64(33))
+            hashes = hashes * np.uint64(0xFF51AFD7ED558CCD)
+            hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            hashes = hashes ^ (hashes >> np.uint64(33))
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+P, B = [f"p{w}" for w in range(WORDS)], [f"b{w}" for w in range(BITMAP)]
+
+
+def _wide(width: int):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width) for t in texts(b)]
+            longs = lambda rows, k: [pa.array(c) for c in np.array(rows, dtype=np.uint64).reshape(-1, k).T.view(np.int64)]
+            columns = [b.column("doc_id"), b.column("key"), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            columns += longs([wide_print(s) for s in sets], WORDS) + longs([bitmap(s) for s in sets], BITMAP)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "set", "n", *P, *B])
+
+    return over
+
+
+def alike(a: dict, b: dict | None, radius: int, least: tuple[int, int], forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (as two arrays of names) between or within tiles that may be as alike as ``least``.
+
+    A tile is a dict of arrays: ``set, label, n`` and the words of prints and
+    bitmaps. Pairs of one label are left out, as are those farther apart than the
+    radius and those whose sizes or bitmaps rule the similarity out. With
+    ``forest`` only pairs are given that connect what all of them connect.
+    """
+    p, q = least
+    same, b = b is None, a if b is None else b
+    shift = 0 if same else len(a["set"])
+    parent = np.arange(shift + len(b["set"]))
+    for first in range(0, len(a["set"]), rows := max(1, BLOCK // max(1, len(b["set"])))):
+        mine = slice(first, first + rows)
+        from_ = first if same else 0
+        apart = sum(np.bitwise_count(a[w][mine, None] ^ b[w][None, from_:]) for w in P)
+        i, j = np.nonzero(apart <= radius)
+        i, j = i + first, j + from_
+        keep = a["label"][i] != b["label"][j]
+        if same:
+            keep &= i < j
+        if forest:
+            keep &= parent[i] != parent[shift + j]
+        i, j = i[keep], j[keep]
+        n, m = a["n"][i], b["n"][j]
+        keep = q * np.minimum(n, m) >= p * np.maximum(n, m)
+        i, j, both = i[keep], j[keep], (n + m)[keep]
+        differ = sum((np.bitwise_count(a[w][i] ^ b[w][j]).astype(np.int64) for w in B), np.zeros(len(i), dtype=np.int64))
+        # members that are shared: (both - members that differ) / 2
+        keep = (p + q) * (both - differ) >= 2 * p * both
+        i, j = i[keep], j[keep]
+        if forest:
+            tree = np.zeros(len(i), dtype=bool)
+            for k, (u, v) in enumerate(zip(i.tolist(), (shift + j).tolist(), strict=True)):
+                if parent[u] != parent[v]:
+                    tree[k] = True
+                    parent[parent == max(parent[u], parent[v])] = min(parent[u], parent[v])
+            i, j = i[tree], j[tree]
+        if len(i):
+            yield a["set"][i], b["set"][j]
+
+
+def _alike(radius: int, least: tuple[int, int], forest: bool):
+    def tile(column: pa.Array, n: int) -> dict:
+        rows = column[n].values
+        out = {name: rows.field(name).to_numpy(zero_copy_only=False) for name in ("set", "label", "n", *P, *B)}
+        return out | {w: out[w].view(np.uint64) for w in (*P, *B)}
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = batch.column("same").to_pylist()
+            for n in range(batch.num_rows):
+                right = None if same[n] else tile(batch.column("right"), n)
+                for u, v in alike(tile(batch.column("left"), n), right, radius, least, forest):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return over
+
+
+def _tiled(nodes: DataFrame, tile: int, scratch: Scratch, name: str) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """``band, chunk, rows``: tiles of about ``tile`` nodes, and the bands as (number, least bit count, greatest, chunks).
+
+    A band is a range of bit counts; one that holds more nodes than a tile is cut
+    into chunks by hash. The driver sees one count for each bit count.
+    """
+    ones = sum((F.bit_count(w) for w in P[1:]), F.bit_count(P[0])).cast("int")
+    counts = sorted((r[0], r[1]) for r in nodes.groupBy(ones).count().collect())
+    bands, of, held, low = [], {}, 0, None
+    for k, (bits, n) in enumerate(counts):
+        low = bits if low is None else low
+        held, of[bits] = held + n, len(bands)
+        if held + (counts[k + 1][1] if k + 1 < len(counts) else tile) > tile:
+            bands.append((len(bands), low, bits, -(-held // tile)))
+            held, low = 0, None
+    lookup = lambda pairs: F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.col("band"))
+    if not bands:  # an empty table
+        bands, of = [(0, 0, 0, 1)], {0: 0}
+    band = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), ones)
+    placed = nodes.withColumn("band", band).withColumn("chunk", F.pmod(F.xxhash64("set"), lookup([(b[0], b[3]) for b in bands])).cast("int"))
+    rows = F.collect_list(F.struct("set", "label", "n", *P, *B)).alias("rows")
+    return scratch.table(placed.groupBy("band", "chunk").agg(rows), name), bands
+
+
+def candidates(nodes: DataFrame, radius: int, least: tuple[int, int], forest: bool, scratch: Scratch, name: str, tile: int = TILE) -> DataFrame:
+    """Pairs ``u, v`` of nodes (set, label, n, print and bitmap words) that may be alike; tile pairs whose bit counts differ beyond the radius are skipped."""
+    spark = nodes.sparkSession
+    tiles, bands = _tiled(nodes, tile, scratch, f"{name}-tiles")
+    # bands number the bit counts at most
+    near = [(x[0], y[0], x[3], y[3]) for x in bands for y in bands if x[0] <= y[0] and y[1] - x[2] <= radius]
+    pairs = spark.createDataFrame(near, "band_a int, band_b int, chunks_a int, chunks_b int")
+    for s in "ab":
+        pairs = pairs.withColumn(f"chunk_{s}", F.explode(F.expr(f"sequence(0, chunks_{s} - 1)")))
+    same = (F.col("band_a") == F.col("band_b")) & (F.col("chunk_a") == F.col("chunk_b"))
+    pairs = pairs.filter("band_a < band_b or chunk_a <= chunk_b").select("band_a", "chunk_a", "band_b", "chunk_b", same.alias("same"))
+    side = lambda s, column: tiles.select(F.col("band").alias(f"band_{s}"), F.col("chunk").alias(f"chunk_{s}"), F.col("rows").alias(column))
+    both = pairs.join(side("a", "left"), ["band_a", "chunk_a"]).join(side("b", "right"), ["band_b", "chunk_b"])
+    # the joins deal by tile; a tile's pairs go to different tasks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = both.withColumn("deal", F.xxhash64("band_a", "chunk_a", "band_b", "chunk_b")).repartition(4 * n, "deal").select("left", "right", "same")
+    with arrow_batches(spark, 1):
+        found = scratch.table(both.mapInArrow(_alike(radius, least, forest), "u long, v long"), name)
+    scratch.drop(f"{name}-tiles")
+    return found
+
+
+def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, int] = LEAST, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, key, label, component_id``.
+
+    Documents link if the wide fingerprints of their ``width``-word shingles are
+    within ``radius`` and the sets of shingles have a Jaccard similarity of
+    ``least`` or more, which is checked exactly, sets being equal if their 64-bit
+    names are. The default radius lies six standard deviations above the
+    expected distance at 0.8. A first round checks a forest of the candidates, a
+    second all candidates that are not in one component by then, so a large group
+    of near copies costs few checks and no link is lost. ``label`` names a
+    component, and ``component_id`` is its least doc_id (null if no document there
+    has an id). Null text and text without words are alike, and unlike any other.
+    ``keys`` names a long column that tells unlike rows of ``docs`` apart. An
+    empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(keys).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    longs = [*P, *B]
+    with arrow_batches(spark):
+        schema = "doc_id long, key long, set long, n long, " + ", ".join(f"{c} long" for c in longs)
+        prints = scratch.table(slim.mapInArrow(_wide(width), schema), "prints")
+    nodes = prints.groupBy("set").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("n", *longs)])
+    nodes = scratch.table(nodes.withColumn("label", F.col("set")), "nodes")
+    members = scratch.table(prints.select("doc_id", "key", "set"), "members")
+    scratch.drop("prints")
+    first = candidates(nodes, radius, least, True, scratch, "drawn", tile)
+    first = verified(first, nodes, slim, width, least, scratch, "first")
+    labels = components(first, scratch).withColumnRenamed("u", "set")
+    marked = nodes.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    marked = scratch.table(marked, "marked")
+    second = candidates(marked, radius, least, False, scratch, "rest", tile)
+    second = verified(second, nodes, slim, width, least, scratch, "second")
+    labels = components(first.union(second), scratch).withColumnRenamed("u", "set")
+    named = nodes.select("set", "low").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    named = scratch.table(named, "named")
+    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    found = scratch.table(named.join(lowest, "label").select("set", "label", "component_id"), "found")
+    scratch.drop("nodes", "marked", "named", "drawn", "rest", "first", "second")
+    # plain scans on both sides: adaptive execution can split a set of many copies
+    return members.join(found, "set").select("doc_id", "key", "label", "component_id")
+
+
 def hex_print(print_: str = "print"):
     return F.lpad(F.lower(F.hex(print_)), 16, "0")
