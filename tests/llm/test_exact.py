@@ -57,12 +57,23 @@ def test_dedup_against_earlier_batches(spark, empty):
     assert again == {9: (2, False), 10: (10, True)}
     assert run("b", (9, "x"), (10, "z")) == again
     assert index.read().count() == 3
+    more = index.compact(Scratch(spark, "t").path)
+    assert sorted(more.read().collect()) == sorted(index.read().collect())
     reopened = exact_dedup.DigestIndex(spark, index.spark.sql(f"DESCRIBE EXTENDED {index.name}").filter("col_name = 'Location'").first()[1], buckets=4)
     assert reopened.read().count() == 3
     plan = index.read().join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
 
 
+def test_dedup_rerun_keeps_the_same_rows_under_other_partitioning(spark, rows):
+    index = exact_dedup.DigestIndex(spark, Scratch(spark, "t").path, buckets=4)
+    plain = lambda got: sorted(map(str, got.collect()))
+    once = plain(exact_dedup.dedup_batch(cases.table(spark, rows), index, "a"))
+    assert sum("kept=True" in r for r in once) == index.read().count()
+    for partitions in (1, 7):
+        assert plain(exact_dedup.dedup_batch(cases.table(spark, rows[::-1], partitions=partitions), index, "a")) == once
+
+
 @pytest.mark.parametrize("op", [exact_dedup.dedup, fingerprints.fingerprint, sharding.shard, mixing.mix, license_scan.scan])
 def test_empty_table(empty, op):
     assert op(empty).collect() == []
@@ -117,6 +128,37 @@ def test_communication_matrix():
     assert np.allclose(mean, [[2.5] * 4, [7.5] * 4], atol=0.1)
 
 
+def test_communication_matrix_has_the_hypergeometric_law(monkeypatch):
+    law = [math.comb(6, k) * math.comb(4, 5 - k) / math.comb(10, 5) for k in range(1, 6)]
+    for limit in (10**9, 4):  # numpy's sampler, and the one for great counts
+        monkeypatch.setattr(sharding, "NUMPY_TOTAL", limit)
+        seen = collections.Counter(int(sharding.communication_matrix([6, 4], 2, s)[0, 0]) for s in range(4000))
+        assert all(abs(seen[k] / 4000 - p) < 0.03 for k, p in zip(range(1, 6), law, strict=True))
+
+
+def test_communication_matrix_beyond_a_billion_rows():
+    counts = [2 * 10**9 + 7, 3, 0, 5 * 10**9, 10**6] * 3
+    m = sharding.communication_matrix(counts, 24, 1)
+    assert m.sum(axis=1).tolist() == counts and m.min() >= 0
+    assert np.ptp(m.sum(axis=0)) <= 1
+    # great cells lie within a few standard deviations of row x column / total
+    mean = counts[0] / 24
+    assert np.abs(m[0] - mean).max() < 6 * mean**0.5 and np.abs(m[0] - mean).max() > 0.1 * mean**0.5
+
+
+def test_shuffle_is_uniform(spark):
+    rows = [cases.doc(i, "x") for i in range(12)]
+    df = cases.table(spark, rows, clash=False).coalesce(2).persist()
+    seen = collections.Counter()
+    for seed in range(16):
+        for g in sharding.shard(df, shards=3, seed=seed).collect():
+            seen[g.doc_id, g.shard * 4 + g.slot] += 1
+    df.unpersist()
+    # 144 cells of 16 / 12 on average: chi-squared has 121 degrees of freedom
+    chi = sum((seen[i, at] - 16 / 12) ** 2 / (16 / 12) for i in range(12) for at in range(12))
+    assert 70 < chi < 185
+
+
 def test_shards(spark, rows):
     got = sharding.shard(cases.table(spark, rows), shards=7).collect()
     assert sorted((g.doc_id is None, g.doc_id or 0, g.size) for g in got) == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 8) for r in rows)

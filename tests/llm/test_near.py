@@ -163,10 +163,11 @@ def near_copies(n=40, words=120):
     return [cases.doc(5000 + i, t) for i, t in enumerate(out)]
 
 
-def test_likeness_links_all_that_brute_force_links(spark, rows):
+@pytest.mark.parametrize("tile", [16384, 50])
+def test_similar_links_all_that_brute_force_links(spark, rows, tile):
     rows = rows + near_copies()
     docs = cases.table(spark, [(*r[:4], i) for i, r in enumerate(rows)])
-    got = {g.key: g for g in likeness.near_duplicates(docs, keys="n_chars").collect()}
+    got = {g.key: g for g in simhash.similar(docs, keys="n_chars", tile=tile).collect()}
     assert sorted(got) == list(range(len(rows)))
     want, ours, theirs = brute_likeness(rows), collections.defaultdict(set), collections.defaultdict(set)
     for i, label in enumerate(want):
@@ -186,7 +187,7 @@ def test_pipeline_drops_copies_at_four_fifths(spark):
 
 
 def test_likeness_of_nothing(spark):
-    assert likeness.near_duplicates(cases.table(spark, []), keys="n_chars").collect() == []
+    assert simhash.similar(cases.table(spark, []), keys="n_chars").collect() == []
 
 
 def test_pipeline_keeps_unlike_groups_of_one_id(spark):
