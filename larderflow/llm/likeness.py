@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ WIDTH = 5
 LEAST = (4, 5)
 #: 64-bit words of a parity bitmap.
 BITMAP = 8
+B = [f"b{w}" for w in range(BITMAP)]
 
 
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -64,19 +66,27 @@ def _members(width: int):
 def verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, width: int, least: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs ``u, v`` (names of sets) whose similarity is ``least`` or more.
 
-    ``nodes`` (set, key) names for each set a row of ``slim`` (key, text) that
-    has it; only the texts of sets in pairs are read into shingles again.
+    ``nodes`` (set, key, n, bitmap words) names for each set a row of ``slim``
+    (key, text) that has it, its size and bitmap. Sizes and bitmaps rule most
+    pairs out; only the texts of sets in the rest are read into shingles again.
     """
     p, q = least
-    pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
+    side = lambda s: nodes.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(b).alias(f"{b}_{s}") for b in B])
+    near = pairs.distinct().join(side("u"), "u").filter("n_u > 0").join(side("v"), "v")
+    small = q * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in B])
+    # members that are shared: (n_u + n_v - members that differ) / 2
+    near = near.filter(small & ((p + q) * (F.col("n_u") + F.col("n_v") - apart) >= 2 * p * (F.col("n_u") + F.col("n_v"))))
+    pairs = scratch.table(near.select("u", "v"), f"{name}-pairs")
+    n = pairs.count()
     ends = pairs.select(F.col("u").alias("set")).union(pairs.select(F.col("v").alias("set"))).distinct()
-    keys = scratch.table(nodes.join(ends, "set").select("key").distinct(), f"{name}-keys")
+    keys = scratch.table(nodes.join(ends, "set").select("key").distinct(), f"{name}-keys", 2 * n)
     with arrow_batches(slim.sparkSession):
         sets = slim.join(keys, "key", "left_semi").select("text").mapInArrow(_members(width), "set long, hashes array<long>")
         sets = scratch.table(sets.groupBy("set").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
     side = lambda s: sets.select(F.col("set").alias(s), F.col("hashes").alias(f"hashes_{s}"))
     shared, both = F.size(F.array_intersect("hashes_u", "hashes_v")), F.size("hashes_u") + F.size("hashes_v")
     out = pairs.join(side("u"), "u").join(side("v"), "v").filter((p + q) * shared >= p * both)
-    out = scratch.table(out.select("u", "v"), name)
+    out = scratch.table(out.select("u", "v"), name, n)
     scratch.drop(f"{name}-pairs", f"{name}-keys", f"{name}-sets")
     return out

@@ -17,6 +17,7 @@ radius few tiles can be skipped, so it compares about all pairs of fingerprints.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.llm.components import components
-from larderflow.llm.likeness import BITMAP, LEAST, WIDTH, bitmap, set_name, shingles, texts, verified
+from larderflow.llm.likeness import BITMAP, LEAST, WIDTH, B, bitmap, set_name, shingles, texts, verified
 from larderflow.llm.scratch import Scratch, arrow_batches
 
 RADIUS = 3
@@ -192,9 +193,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, keys: str | None = No
 
 # --- near-duplicates of a given Jaccard similarity ---------------------------
 
-#: 64-bit words of a wide fingerprint, and the radius within which pairs are checked. Sets of Jaccard similarity 0.8 are
-#: expected to differ in 19 of 128 bits (standard deviation 4), the smallest ones in 24, and unlike sets in 64.
-WORDS, WIDE_RADIUS = 2, 44
+#: 64-bit words of a wide fingerprint. Sets of Jaccard similarity 0.8 are expected to differ in 19 of 128 bits (standard
+#: deviation 4), the smallest ones in 24, and unlike sets in 64 (standard deviation 6).
+WORDS = 2
+#: Radius within which a forest of pairs is checked first, and within which all pairs are that it leaves apart.
+CLOSE, WIDE_RADIUS = 24, 40
+#: Wide fingerprints of a tile, about.
+WIDE_TILE = 32_768
 
 
 def wide_print(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -214,7 +219,7 @@ def wide_print(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return out
 
 
-P, B = [f"p{w}" for w in range(WORDS)], [f"b{w}" for w in range(BITMAP)]
+P = [f"p{w}" for w in range(WORDS)]
 
 
 def _wide(width: int):
@@ -229,121 +234,122 @@ def _wide(width: int):
     return over
 
 
-def alike(a: dict, b: dict | None, radius: int, least: tuple[int, int], forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets (as two arrays of names) between or within tiles that may be as alike as ``least``.
+def alike(a: dict, b: dict | None, radius: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (as two arrays of names) between or within tiles whose fingerprints are within the radius.
 
-    A tile is a dict of arrays: ``set, label, n`` and the words of prints and
-    bitmaps. Pairs of one label are left out, as are those farther apart than the
-    radius and those whose sizes or bitmaps rule the similarity out. With
+    A tile is a dict of arrays: ``set``, the words of the fingerprints, and
+    ``label`` without ``forest``: then pairs of one label are left out. With
     ``forest`` only pairs are given that connect what all of them connect.
     """
-    p, q = least
     same, b = b is None, a if b is None else b
     shift = 0 if same else len(a["set"])
-    parent = np.arange(shift + len(b["set"]))
-    for first in range(0, len(a["set"]), rows := max(1, BLOCK // max(1, len(b["set"])))):
-        mine = slice(first, first + rows)
+    parent = list(range(shift + len(b["set"])))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    rows = max(1, BLOCK // max(1, len(b["set"])))
+    for first in range(0, len(a["set"]), rows):
         from_ = first if same else 0
-        apart = sum(np.bitwise_count(a[w][mine, None] ^ b[w][None, from_:]) for w in P)
+        apart = functools.reduce(np.add, [np.bitwise_count(a[w][first : first + rows, None] ^ b[w][None, from_:]) for w in P])
         i, j = np.nonzero(apart <= radius)
         i, j = i + first, j + from_
-        keep = a["label"][i] != b["label"][j]
-        if same:
-            keep &= i < j
-        if forest:
-            keep &= parent[i] != parent[shift + j]
-        i, j = i[keep], j[keep]
-        n, m = a["n"][i], b["n"][j]
-        keep = q * np.minimum(n, m) >= p * np.maximum(n, m)
-        i, j, both = i[keep], j[keep], (n + m)[keep]
-        differ = sum((np.bitwise_count(a[w][i] ^ b[w][j]).astype(np.int64) for w in B), np.zeros(len(i), dtype=np.int64))
-        # members that are shared: (both - members that differ) / 2
-        keep = (p + q) * (both - differ) >= 2 * p * both
+        keep = i < j if same else np.ones(len(i), dtype=bool)
+        if not forest:
+            keep &= a["label"][i] != b["label"][j]
         i, j = i[keep], j[keep]
         if forest:
             tree = np.zeros(len(i), dtype=bool)
             for k, (u, v) in enumerate(zip(i.tolist(), (shift + j).tolist(), strict=True)):
-                if parent[u] != parent[v]:
-                    tree[k] = True
-                    parent[parent == max(parent[u], parent[v])] = min(parent[u], parent[v])
+                u, v = root(u), root(v)
+                if u != v:
+                    tree[k], parent[max(u, v)] = True, min(u, v)
             i, j = i[tree], j[tree]
         if len(i):
             yield a["set"][i], b["set"][j]
 
 
-def _alike(radius: int, least: tuple[int, int], forest: bool):
-    def tile(column: pa.Array, n: int) -> dict:
-        rows = column[n].values
-        out = {name: rows.field(name).to_numpy(zero_copy_only=False) for name in ("set", "label", "n", *P, *B)}
-        return out | {w: out[w].view(np.uint64) for w in (*P, *B)}
-
+def _alike(radius: int, forest: bool, fields: list[str]):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, of = {}, None
         for batch in batches:
-            same = batch.column("same").to_pylist()
-            for n in range(batch.num_rows):
-                right = None if same[n] else tile(batch.column("right"), n)
-                for u, v in alike(tile(batch.column("left"), n), right, radius, least, forest):
+            for n, row in enumerate(batch.select(["pair", "right"]).to_pylist()):
+                values = batch.column("rows")[n].values
+                tile = {name: values.field(name).to_numpy(zero_copy_only=False) for name in fields}
+                tile |= {w: tile[w].view(np.uint64) for w in P}
+                # a pair's rows come one after the other, the left tile first; a tile's pair with itself has one row
+                if not row["right"]:
+                    left, of = tile, row["pair"]
+                    if row["pair"][:2] != row["pair"][2:]:
+                        continue
+                assert row["pair"] == of
+                for u, v in alike(left, tile if row["right"] else None, radius, forest):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return over
 
 
-def _tiled(nodes: DataFrame, tile: int, scratch: Scratch, name: str) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """``band, chunk, rows``: tiles of about ``tile`` nodes, and the bands as (number, least bit count, greatest, chunks).
+def _bands(counts: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int]]:
+    """(least bit count, greatest, tiles) of consecutive bands of bit counts with about ``tile`` fingerprints in each of their tiles."""
+    bands, low, held = [], None, 0
+    for k, (bits, n) in enumerate(counts):
+        low, held = bits if low is None else low, held + n
+        if k + 1 == len(counts) or held + counts[k + 1][1] > tile:
+            bands.append((low, bits, -(-held // tile)))
+            low, held = None, 0
+    return bands
 
-    A band is a range of bit counts; one that holds more nodes than a tile is cut
-    into chunks by hash. The driver sees one count for each bit count.
+
+def candidates(nodes: DataFrame, radius: int, forest: bool, scratch: Scratch, name: str, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``u, v`` of nodes (set, label and print words) within the radius.
+
+    Tiles are ranges of bit counts, cut by hash where they hold too much; two
+    tiles whose bit counts differ beyond the radius are skipped. Each tile is
+    sent once for each tile it is compared with. The driver sees one count for
+    each bit count.
     """
-    ones = sum((F.bit_count(w) for w in P[1:]), F.bit_count(P[0])).cast("int")
-    counts = sorted((r[0], r[1]) for r in nodes.groupBy(ones).count().collect())
-    bands, of, held, low = [], {}, 0, None
-    for k, (bits, n) in enumerate(counts):
-        low = bits if low is None else low
-        held, of[bits] = held + n, len(bands)
-        if held + (counts[k + 1][1] if k + 1 < len(counts) else tile) > tile:
-            bands.append((len(bands), low, bits, -(-held // tile)))
-            held, low = 0, None
-    lookup = lambda pairs: F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.col("band"))
-    if not bands:  # an empty table
-        bands, of = [(0, 0, 0, 1)], {0: 0}
-    band = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), ones)
-    placed = nodes.withColumn("band", band).withColumn("chunk", F.pmod(F.xxhash64("set"), lookup([(b[0], b[3]) for b in bands])).cast("int"))
-    rows = F.collect_list(F.struct("set", "label", "n", *P, *B)).alias("rows")
-    return scratch.table(placed.groupBy("band", "chunk").agg(rows), name), bands
-
-
-def candidates(nodes: DataFrame, radius: int, least: tuple[int, int], forest: bool, scratch: Scratch, name: str, tile: int = TILE) -> DataFrame:
-    """Pairs ``u, v`` of nodes (set, label, n, print and bitmap words) that may be alike; tile pairs whose bit counts differ beyond the radius are skipped."""
     spark = nodes.sparkSession
-    tiles, bands = _tiled(nodes, tile, scratch, f"{name}-tiles")
-    # bands number the bit counts at most
-    near = [(x[0], y[0], x[3], y[3]) for x in bands for y in bands if x[0] <= y[0] and y[1] - x[2] <= radius]
-    pairs = spark.createDataFrame(near, "band_a int, band_b int, chunks_a int, chunks_b int")
-    for s in "ab":
-        pairs = pairs.withColumn(f"chunk_{s}", F.explode(F.expr(f"sequence(0, chunks_{s} - 1)")))
-    same = (F.col("band_a") == F.col("band_b")) & (F.col("chunk_a") == F.col("chunk_b"))
-    pairs = pairs.filter("band_a < band_b or chunk_a <= chunk_b").select("band_a", "chunk_a", "band_b", "chunk_b", same.alias("same"))
-    side = lambda s, column: tiles.select(F.col("band").alias(f"band_{s}"), F.col("chunk").alias(f"chunk_{s}"), F.col("rows").alias(column))
-    both = pairs.join(side("a", "left"), ["band_a", "chunk_a"]).join(side("b", "right"), ["band_b", "chunk_b"])
-    # the joins deal by tile; a tile's pairs go to different tasks
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = both.withColumn("deal", F.xxhash64("band_a", "chunk_a", "band_b", "chunk_b")).repartition(4 * n, "deal").select("left", "right", "same")
+    ones = sum((F.bit_count(w) for w in P[1:]), F.bit_count(P[0])).cast("int")
+    bands = _bands(sorted((r[0], r[1]) for r in nodes.groupBy(ones).count().collect()), tile) or [(0, 0, 1)]
+    fields = ["set", *P] + ([] if forest else ["label"])
+    number = functools.reduce(lambda c, k: c.when(ones <= bands[k][1], k), range(1, len(bands)), F.when(ones <= bands[0][1], 0))
+    chunks = F.element_at(F.array(*[F.lit(b[2]) for b in bands]), F.col("band") + 1)
+    placed = nodes.withColumn("band", number).withColumn("chunk", F.pmod(F.xxhash64("set"), chunks).cast("int"))
+    tiles = scratch.table(placed.groupBy("band", "chunk").agg(F.collect_list(F.struct(*fields)).alias("rows")), f"{name}-tiles")
+
+    def partners(right: bool) -> DataFrame:
+        lists = []
+        for x, (low, high, _) in enumerate(bands):
+            others = [(y, b[2]) for y, b in enumerate(bands) if (y <= x if right else y >= x) and low - b[1] <= radius and b[0] - high <= radius]
+            lists.append(F.array(*[F.struct(F.lit(y).alias("band"), F.lit(c).alias("chunks")) for y, c in others]))
+        out = tiles.withColumn("other", F.explode(F.element_at(F.array(*lists), F.col("band") + 1)))
+        out = out.withColumn("other_chunk", F.explode(F.expr("sequence(0, other.chunks - 1)")))
+        own, other = [F.col("band"), F.col("chunk")], [F.col("other.band"), F.col("other_chunk")]
+        a, b = (other, own) if right else (own, other)
+        before = (a[0] < b[0]) | (a[1] < b[1] if right else a[1] <= b[1])
+        return out.filter(before).select(F.array(*a, *b).alias("pair"), F.lit(right).alias("right"), "rows")
+
+    near = [(x, y) for x in bands for y in bands if x <= y and y[0] - x[1] <= radius]
+    n = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sum(x[2] * y[2] for x, y in near))
+    dealt = partners(False).unionByName(partners(True)).repartition(n, "pair").sortWithinPartitions("pair", "right")
     with arrow_batches(spark, 1):
-        found = scratch.table(both.mapInArrow(_alike(radius, least, forest), "u long, v long"), name)
+        found = scratch.table(dealt.mapInArrow(_alike(radius, forest, fields), "u long, v long"), f"{name}-within")
     scratch.drop(f"{name}-tiles")
     return found
 
 
-def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, int] = LEAST, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, int] = LEAST, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, key, label, component_id``.
 
     Documents link if the wide fingerprints of their ``width``-word shingles are
     within ``radius`` and the sets of shingles have a Jaccard similarity of
     ``least`` or more, which is checked exactly, sets being equal if their 64-bit
-    names are. The default radius lies six standard deviations above the
-    expected distance at 0.8. A first round checks a forest of the candidates, a
+    names are. The default radius lies five standard deviations above the
+    expected distance at 0.8. A first round checks a forest of close candidates, a
     second all candidates that are not in one component by then, so a large group
-    of near copies costs few checks and no link is lost. ``label`` names a
+    of near copies costs few checks and no candidate is left out. ``label`` names a
     component, and ``component_id`` is its least doc_id (null if no document there
     has an id). Null text and text without words are alike, and unlike any other.
     ``keys`` names a long column that tells unlike rows of ``docs`` apart. An
@@ -357,22 +363,25 @@ def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, in
         schema = "doc_id long, key long, set long, n long, " + ", ".join(f"{c} long" for c in longs)
         prints = scratch.table(slim.mapInArrow(_wide(width), schema), "prints")
     nodes = prints.groupBy("set").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("n", *longs)])
-    nodes = scratch.table(nodes.withColumn("label", F.col("set")), "nodes")
+    nodes = scratch.table(nodes, "nodes")
     members = scratch.table(prints.select("doc_id", "key", "set"), "members")
     scratch.drop("prints")
-    first = candidates(nodes, radius, least, True, scratch, "drawn", tile)
+    first = candidates(nodes, min(CLOSE, radius), True, scratch, "first", tile)
     first = verified(first, nodes, slim, width, least, scratch, "first")
-    labels = components(first, scratch).withColumnRenamed("u", "set")
-    marked = nodes.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    labels = scratch.table(components(first, scratch).withColumnRenamed("u", "set"), "labels")
+    marked = nodes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")).select("set", "label", "low", *P)
     marked = scratch.table(marked, "marked")
-    second = candidates(marked, radius, least, False, scratch, "rest", tile)
+    second = candidates(marked, radius, False, scratch, "second", tile)
     second = verified(second, nodes, slim, width, least, scratch, "second")
-    labels = components(first.union(second), scratch).withColumnRenamed("u", "set")
-    named = nodes.select("set", "low").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    # links between components of the first round; there are few
+    name = lambda s: marked.select(F.col("set").alias(s), F.col("label").alias(f"label_{s}"))
+    more = second.join(name("u"), "u").join(name("v"), "v").select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
+    more = components(more, scratch).toDF("label", "joined")
+    named = marked.join(more, "label", "left").select("set", "low", F.coalesce("joined", "label").alias("label"))
     named = scratch.table(named, "named")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     found = scratch.table(named.join(lowest, "label").select("set", "label", "component_id"), "found")
-    scratch.drop("nodes", "marked", "named", "drawn", "rest", "first", "second")
+    scratch.drop("nodes", "marked", "named", "labels", "first-within", "second-within", "first", "second")
     # plain scans on both sides: adaptive execution can split a set of many copies
     return members.join(found, "set").select("doc_id", "key", "label", "component_id")
 
