@@ -73,12 +73,12 @@ def _shortest_runs(min_words: int):
     return over
 
 
-def _ranked(pairs: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+def _ranked(pairs: DataFrame, keys: list[str], scratch: Scratch, name: str, rows: int | None = None) -> DataFrame:
     """Keys that occur at least twice, with ``r``: ranks in key order (not dense)."""
     twice = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
     n = int(twice.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = twice.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return scratch.table(ordered.withColumn("r", F.monotonically_increasing_id()), name)
+    return scratch.table(ordered.withColumn("r", F.monotonically_increasing_id()), name, rows)
 
 
 def repeated_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
@@ -92,24 +92,26 @@ def repeated_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFra
     # plain scans on both sides: adaptive execution can split a hot line
     active = lines.join(ids, ["h1", "h2"]).groupBy(*DOC, "i").agg(F.first("w").alias("w"), F.first("r").alias("r"))
     active = scratch.table(active, "active0")
+    rows = active.count()
     scratch.drop("lines", "ids")
     sorted_lines = active.select(*DOC, "i", "w").repartition(*DOC).sortWithinPartitions(*DOC, "i")
     runs = sorted_lines.mapInPandas(_shortest_runs(min_words), "k1 long, k2 long, start int, m int")
     # the largest k with 2^k <= m
     runs = runs.withColumn("level", (F.length(F.bin(F.col("m"))) - 1).cast("int"))
     runs = runs.withColumn("off", (F.col("start") + F.col("m") - F.expr("shiftleft(1, level)")).cast("int"))
-    runs = scratch.table(runs, "runs")
+    runs = scratch.table(runs, "runs", 2 * rows)
     levels = sorted(r[0] for r in runs.select("level").distinct().collect())
     cuts, ranks = [], active.select(*DOC, "i", "r")
     for k in range(levels[-1] + 1 if levels else 0):
         if k in levels:
-            cuts.append(scratch.table(_later_copies(runs.filter(F.col("level") == k), ranks, scratch, k), f"cuts{k}"))
+            cuts.append(_later_copies(runs.filter(F.col("level") == k), ranks, scratch, k, 2 * rows))
         if k < levels[-1]:
             follow = F.max("r").over(W.partitionBy(*DOC).orderBy("i").rangeBetween(2**k, 2**k))
-            pairs = scratch.table(ranks.withColumn("r2", follow).filter(F.col("r2").isNotNull()), f"pairs{k}")
-            classes = _ranked(pairs.withColumnRenamed("r", "r1"), ["r1", "r2"], scratch, f"classes{k}")
+            pairs = scratch.table(ranks.withColumn("r2", follow).filter(F.col("r2").isNotNull()), f"pairs{k}", rows)
+            rows = pairs.count()
+            classes = _ranked(pairs.withColumnRenamed("r", "r1"), ["r1", "r2"], scratch, f"classes{k}", rows)
             pairs = pairs.withColumnRenamed("r", "r1")
-            ranks = scratch.table(pairs.join(classes, ["r1", "r2"]).select(*DOC, "i", "r"), f"ranks{k + 1}")
+            ranks = scratch.table(pairs.join(classes, ["r1", "r2"]).select(*DOC, "i", "r"), f"ranks{k + 1}", rows)
             scratch.drop(f"pairs{k}", f"classes{k}", f"ranks{k}")
     scratch.drop("active0", "runs")
     if not cuts:
@@ -118,18 +120,23 @@ def repeated_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFra
     for more in cuts[1:]:
         found = found.unionByName(more)
     covered = found.select(*DOC, F.explode(F.expr("sequence(start, start + m - 1)")).alias("i")).distinct()
-    return scratch.table(covered.groupBy(*DOC).agg(F.collect_list("i").alias("cut")), "cut")
+    out = scratch.table(covered.groupBy(*DOC).agg(F.collect_list("i").alias("cut")), "cut")
+    scratch.drop(*[f"cuts{k}" for k in levels])
+    return out
 
 
-def _later_copies(runs: DataFrame, ranks: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """Those of the runs (k1, k2, start, m) whose interval has an earlier member."""
+def _later_copies(runs: DataFrame, ranks: DataFrame, scratch: Scratch, k: int, rows: int) -> DataFrame:
+    """Those of the runs (k1, k2, start, m), ``rows`` at most, whose interval has an earlier member."""
     at = lambda pos, r: ranks.select(*DOC, F.col("i").alias(pos), F.col("r").alias(r))
     named = runs.join(at("start", "a"), [*DOC, "start"]).join(at("off", "b"), [*DOC, "off"])
-    named = scratch.table(named.select(*DOC, "start", "m", "a", "b"), f"named{k}")
+    named = scratch.table(named.select(*DOC, "start", "m", "a", "b"), f"named{k}", rows)
     place = F.struct(*DOC, "start")
     firsts = named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    firsts = scratch.table(firsts, f"firsts{k}")
-    return named.join(firsts, ["m", "a", "b"]).filter(place > F.col("first")).select(*DOC, "start", "m")
+    firsts = scratch.table(firsts, f"firsts{k}", rows)
+    later = named.join(firsts, ["m", "a", "b"]).filter(place > F.col("first")).select(*DOC, "start", "m")
+    later = scratch.table(later, f"cuts{k}", rows)
+    scratch.drop(f"named{k}", f"firsts{k}")
+    return later
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, removed: str | None = None) -> DataFrame:

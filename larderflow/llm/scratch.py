@@ -48,6 +48,9 @@ def _delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Narrow rows that one task and file may hold where there are few.
+FILE_ROWS = 200_000
+
 #: Folders made inside each open ``released`` block, the innermost last.
 _OPEN: list[list[str]] = []
 
@@ -78,9 +81,16 @@ class Scratch:
         if _OPEN:
             _OPEN[-1].append(self.path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns the table read back, with the schema that was written."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes ``df`` and returns the table read back, with the schema that was written.
+
+        ``rows`` (about how many rows there will be, at most) keeps the number of
+        tasks and files in proportion where that is known to be small.
+        """
         where = f"{self.path}/{name}"
+        if rows is not None:
+            tasks = rows // FILE_ROWS + 1
+            df = df.coalesce(tasks) if tasks < int(self.spark.conf.get("spark.sql.shuffle.partitions")) else df
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
