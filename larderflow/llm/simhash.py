@@ -220,6 +220,8 @@ def wide_print(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
 
 
 P = [f"p{w}" for w in range(WORDS)]
+#: Columns of bitmaps folded to half their bits, which goes on to bound the members that differ from below.
+SHORT = [f"s{w}" for w in range(BITMAP // 2)]
 
 
 def _wide(width: int):
@@ -234,58 +236,70 @@ def _wide(width: int):
     return over
 
 
-def alike(a: dict, b: dict | None, radius: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def alike(a: dict, b: dict | None, radius: int, least: tuple[int, int], forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets (as two arrays of names) between or within tiles whose fingerprints are within the radius.
 
-    A tile is a dict of arrays: ``set``, the words of the fingerprints, and
-    ``label`` without ``forest``: then pairs of one label are left out. With
-    ``forest`` only pairs are given that connect what all of them connect.
+    A tile is a dict of arrays: ``set``, ``n``, the words of the fingerprints and
+    of short bitmaps, and ``label`` without ``forest``: then pairs of one label are
+    left out. Pairs whose sizes or bitmaps rule out a similarity of ``least`` are
+    left out too. With ``forest`` only pairs are given that connect what all of
+    them connect.
     """
+    p, q = least
     same, b = b is None, a if b is None else b
     shift = 0 if same else len(a["set"])
-    parent = list(range(shift + len(b["set"])))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    parent = np.arange(shift + len(b["set"]))  # always of depth one
     rows = max(1, BLOCK // max(1, len(b["set"])))
     for first in range(0, len(a["set"]), rows):
         from_ = first if same else 0
         apart = functools.reduce(np.add, [np.bitwise_count(a[w][first : first + rows, None] ^ b[w][None, from_:]) for w in P])
         i, j = np.nonzero(apart <= radius)
         i, j = i + first, j + from_
-        keep = i < j if same else np.ones(len(i), dtype=bool)
-        if not forest:
-            keep &= a["label"][i] != b["label"][j]
+        keep = parent[i] != parent[shift + j] if forest else a["label"][i] != b["label"][j]
+        keep &= (i < j) if same else True
+        i, j = i[keep], j[keep]
+        n, m = a["n"][i], b["n"][j]
+        differ = functools.reduce(np.add, [np.bitwise_count(a[w][i] ^ b[w][j]).astype(np.int64) for w in SHORT])
+        # members that are shared: (n + m - members that differ) / 2
+        keep = (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * (n + m - differ) >= 2 * p * (n + m))
         i, j = i[keep], j[keep]
-        if forest:
-            tree = np.zeros(len(i), dtype=bool)
-            for k, (u, v) in enumerate(zip(i.tolist(), (shift + j).tolist(), strict=True)):
+        if forest and len(i):
+            tree, up = np.zeros(len(i), dtype=bool), {}
+
+            def root(x: int) -> int:
+                while x in up:  # noqa: B023
+                    x = up[x]  # noqa: B023
+                return x
+
+            for k, (u, v) in enumerate(zip(parent[i].tolist(), parent[shift + j].tolist(), strict=True)):
                 u, v = root(u), root(v)
                 if u != v:
-                    tree[k], parent[max(u, v)] = True, min(u, v)
+                    tree[k], up[max(u, v)] = True, min(u, v)
+            if up:
+                moved = np.arange(len(parent))
+                for x in up:
+                    moved[x] = root(x)
+                parent = moved[parent]
             i, j = i[tree], j[tree]
         if len(i):
             yield a["set"][i], b["set"][j]
 
 
-def _alike(radius: int, forest: bool, fields: list[str]):
+def _alike(radius: int, least: tuple[int, int], forest: bool, fields: list[str]):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, of = {}, None
         for batch in batches:
             for n, row in enumerate(batch.select(["pair", "right"]).to_pylist()):
                 values = batch.column("rows")[n].values
                 tile = {name: values.field(name).to_numpy(zero_copy_only=False) for name in fields}
-                tile |= {w: tile[w].view(np.uint64) for w in P}
+                tile |= {w: tile[w].view(np.uint64) for w in (*P, *SHORT)}
                 # a pair's rows come one after the other, the left tile first; a tile's pair with itself has one row
                 if not row["right"]:
                     left, of = tile, row["pair"]
                     if row["pair"][:2] != row["pair"][2:]:
                         continue
                 assert row["pair"] == of
-                for u, v in alike(left, tile if row["right"] else None, radius, forest):
+                for u, v in alike(left, tile if row["right"] else None, radius, least, forest):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return over
@@ -302,8 +316,8 @@ def _bands(counts: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int
     return bands
 
 
-def candidates(nodes: DataFrame, radius: int, forest: bool, scratch: Scratch, name: str, tile: int = WIDE_TILE) -> DataFrame:
-    """Pairs ``u, v`` of nodes (set, label and print words) within the radius.
+def candidates(nodes: DataFrame, radius: int, least: tuple[int, int], forest: bool, scratch: Scratch, name: str, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``u, v`` of nodes (set, label, n, print and bitmap words) within the radius, as ``alike`` gives them.
 
     Tiles are ranges of bit counts, cut by hash where they hold too much; two
     tiles whose bit counts differ beyond the radius are skipped. Each tile is
@@ -313,7 +327,7 @@ def candidates(nodes: DataFrame, radius: int, forest: bool, scratch: Scratch, na
     spark = nodes.sparkSession
     ones = sum((F.bit_count(w) for w in P[1:]), F.bit_count(P[0])).cast("int")
     bands = _bands(sorted((r[0], r[1]) for r in nodes.groupBy(ones).count().collect()), tile) or [(0, 0, 1)]
-    fields = ["set", *P] + ([] if forest else ["label"])
+    fields = ["set", "n", *P, *SHORT] + ([] if forest else ["label"])
     number = functools.reduce(lambda c, k: c.when(ones <= bands[k][1], k), range(1, len(bands)), F.when(ones <= bands[0][1], 0))
     chunks = F.element_at(F.array(*[F.lit(b[2]) for b in bands]), F.col("band") + 1)
     placed = nodes.withColumn("band", number).withColumn("chunk", F.pmod(F.xxhash64("set"), chunks).cast("int"))
@@ -332,10 +346,10 @@ def candidates(nodes: DataFrame, radius: int, forest: bool, scratch: Scratch, na
         return out.filter(before).select(F.array(*a, *b).alias("pair"), F.lit(right).alias("right"), "rows")
 
     near = [(x, y) for x in bands for y in bands if x <= y and y[0] - x[1] <= radius]
-    n = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sum(x[2] * y[2] for x, y in near))
+    n = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * sum(x[2] * y[2] for x, y in near))
     dealt = partners(False).unionByName(partners(True)).repartition(n, "pair").sortWithinPartitions("pair", "right")
     with arrow_batches(spark, 1):
-        found = scratch.table(dealt.mapInArrow(_alike(radius, forest, fields), "u long, v long"), f"{name}-within")
+        found = scratch.table(dealt.mapInArrow(_alike(radius, least, forest, fields), "u long, v long"), f"{name}-within")
     scratch.drop(f"{name}-tiles")
     return found
 
@@ -363,15 +377,17 @@ def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, in
         schema = "doc_id long, key long, set long, n long, " + ", ".join(f"{c} long" for c in longs)
         prints = scratch.table(slim.mapInArrow(_wide(width), schema), "prints")
     nodes = prints.groupBy("set").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("n", *longs)])
-    nodes = scratch.table(nodes, "nodes")
+    folded = {w: F.col(b).bitwiseXOR(F.col(c)) for b, c, w in zip(B[: len(SHORT)], B[len(SHORT) :], SHORT, strict=True)}
+    nodes = scratch.table(nodes.withColumns(folded), "nodes")
     members = scratch.table(prints.select("doc_id", "key", "set"), "members")
     scratch.drop("prints")
-    first = candidates(nodes, min(CLOSE, radius), True, scratch, "first", tile)
+    first = candidates(nodes, min(CLOSE, radius), least, True, scratch, "first", tile)
     first = verified(first, nodes, slim, width, least, scratch, "first")
     labels = scratch.table(components(first, scratch).withColumnRenamed("u", "set"), "labels")
-    marked = nodes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")).select("set", "label", "low", *P)
+    marked = nodes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    marked = marked.select("set", "label", "low", "n", *P, *SHORT)
     marked = scratch.table(marked, "marked")
-    second = candidates(marked, radius, False, scratch, "second", tile)
+    second = candidates(marked, radius, least, False, scratch, "second", tile)
     second = verified(second, nodes, slim, width, least, scratch, "second")
     # links between components of the first round; there are few
     name = lambda s: marked.select(F.col("set").alias(s), F.col("label").alias(f"label_{s}"))
