@@ -103,11 +103,19 @@ LENGTH_UNITS = "centimeter centimetre cm in inch inches millimeter millimetre mm
 UNIT_SYNONYMS = ("cup c", "gram g gm", "kilogram kg", "litre liter l", "ounce oz", "pound lb", "quart qt", "tablespoon tbsp tbs tb", "teaspoon tsp")
 # Units that a parser recognises and gives in one spelling.
 CANONICAL_UNITS = {
-    "cup": "cup cups c", "gram": "gram grams g gm", "kilogram": "kilogram kilograms kg", "litre": "litre litres liter liters l",
-    "millilitre": "millilitre millilitres milliliter milliliters ml mL", "ounce": "ounce ounces oz", "pound": "pound pounds lb lbs",
+    "cup": "cup cups c", "gram": "gram grams g gm", "kilogram": "kilogram kilograms kg", "liter": "litre litres liter liters l",
+    "milliliter": "millilitre millilitres milliliter milliliters ml mL", "centiliter": "centilitre centilitres centiliter centiliters cl cL",
+    "fluid_ounce": "floz fluid_ounce", "millimeter": "millimetre millimetres millimeter millimeters mm", "ounce": "ounce ounces oz", "pound": "pound pounds lb lbs",
     "pint": "pint pints pt pts", "quart": "quart quarts qt", "gallon": "gallon gallons gal", "tablespoon": "tablespoon tablespoons tbsp tbsps tbs tb",
     "teaspoon": "teaspoon teaspoons tsp tsps",
 }
+# Short spellings and what they are read as, as whole words, one after another.
+UNIT_REWRITES = {
+    "fl oz": "floz", "fluid oz": "fluid_ounce", "fl ounce": "fluid_ounce", "fluid ounce": "fluid_ounce", "C": "cup", "c": "cup", "qt": "quart",
+    "Cl": "centiliter", "G": "gram", "Ml": "milliliter", "Mm": "millimeter", "Pt": "pint", "Tb": "tablespoon",
+}
+# Words that are units of another kind elsewhere and are never recognised.
+MISREAD_UNITS = ("pinch", "pinches", "bar", "bars", "link", "links", "shake", "shakes", "tin", "tins", "unit", "units", "fat")
 # Size words before or after a unit.
 SIZES = (
     "big bite-size bite-sized extra-large jumbo large lg little md medium medium-large medium-size medium-sized medium-small "

@@ -50,7 +50,8 @@ def merged_amounts(rows: DataFrame) -> DataFrame:
     """``quantity, unit, amount_note, mixed`` of each group that has any amount.
 
     One unit: quantities are summed (in decimal, so the order of rows never
-    matters) and the first spelling of the unit is shown. Several: neither, and
+    matters; only those of 1e17 and more are added as doubles, in any order) and
+    the first spelling of the unit is shown. Several: neither, and
     a note lists the amounts by unit in first-seen order, then by line.
     """
     has = F.col("quantity").isNotNull() | (strip(F.coalesce("unit", F.lit(""))) != "")

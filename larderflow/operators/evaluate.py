@@ -19,22 +19,21 @@ def same_name(a: Column, b: Column) -> Column:
 def match_cases(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     """``case_id, tp, fp, fn, category_hits`` per case; inputs are ``case_id, pos, name, category``.
 
-    Each prediction, in order, takes the first expected name it equals that no
+    Each expected name, in order, takes the first prediction it equals that no
     earlier one took. The choice depends on the choices before, so a case, which
     is one recipe, is scored as a whole.
     """
 
     def score(key, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         p, e = p.sort_values("pos"), e.sort_values("pos")
-        free, hits, placed = list(range(len(e))), 0, 0
-        wanted = [(set(w), c) for w, c in zip(e["words"], e["category"], strict=True)]
-        for words, category in zip(map(set, p["words"]), p["category"], strict=True):
-            took = next((i for i in free if words and wanted[i][0] and (words <= wanted[i][0] or wanted[i][0] <= words)), None)
+        hits, placed = 0, 0
+        free = [(set(w), c) for w, c in zip(p["words"], p["category"], strict=True)]
+        for words, category in zip(map(set, e["words"]), e["category"], strict=True):
+            took = next((i for i, (w, _) in enumerate(free) if w and words and (w <= words or words <= w)), None)
             if took is not None:
-                free.remove(took)
                 hits += 1
-                placed += category == wanted[took][1]
-        return pd.DataFrame({"case_id": [key[0]], "tp": [hits], "fp": [len(p) - hits], "fn": [len(free)], "category_hits": [placed]})
+                placed += category == free.pop(took)[1]
+        return pd.DataFrame({"case_id": [key[0]], "tp": [hits], "fp": [len(p) - hits], "fn": [len(e) - hits], "category_hits": [placed]})
 
     with_words = lambda df: df.select("case_id", "pos", "category", name_words(F.col("name")).alias("words")).toDF("case_id", "pos", "category", "words")
     both = with_words(predicted).groupBy("case_id").cogroup(with_words(expected).groupBy("case_id"))

@@ -311,28 +311,34 @@ def _(spark, d):
 
 
 def edits(spark: SparkSession, d: str) -> DataFrame:
-    """A change table out of the event stream: deletes, updates and additions of the first items of lists."""
+    """A change table out of the event stream: deletes, additions, and updates that give or clear one field or two of the first items of lists."""
     e = table(spark, d, "events").filter("event_type is not null")
-    op = F.element_at(F.array(F.lit("update"), F.lit("delete"), F.lit("add")), (F.col("event_id") % 3 + 1).cast("int"))
+    op = F.element_at(F.array(F.lit("update"), F.lit("update"), F.lit("update"), F.lit("delete"), F.lit("add")), (F.col("event_id") % 5 + 1).cast("int"))
+    update, kind = op == "update", F.floor(F.col("event_id") / 5) % 4
     null = lambda t: F.lit(None).cast(t)
     return e.select(
         F.col("user_id").alias("list_id"), F.when(op == "add", 100000 + F.col("event_id")).otherwise(F.col("event_id") % 7 + 1).alias("item_pos"),
         F.col("event_id").alias("edit_seq"), op.alias("op"), F.when(op == "add", F.lit("extra")).alias("name"),
-        F.when(op == "update", (F.col("event_id") % 5).cast("double")).alias("quantity"), null("string").alias("unit"), null("string").alias("category"),
-        null("string").alias("notes"), F.when(op == "update", F.col("event_id") % 2 == 0).alias("checked"),
+        F.when(update & kind.isin(0, 2), (F.col("event_id") % 5).cast("double")).alias("quantity"), null("string").alias("unit"), null("string").alias("category"),
+        null("string").alias("notes"), F.when(update & kind.isin(1, 2), F.col("event_id") % 2 == 0).alias("checked"),
+        F.when(update & (kind == 3), F.array(F.lit("quantity"))).alias("cleared"),
     )
 
 
 EDIT_SQL = """, e AS (
-  SELECT user_id AS list_id, event_id, list_extract(['update', 'delete', 'add'], (event_id % 3 + 1)::INT) AS op,
-         CASE WHEN event_id % 3 = 2 THEN 100000 + event_id ELSE event_id % 7 + 1 END AS item_pos
+  SELECT user_id AS list_id, event_id, list_extract(['update', 'update', 'update', 'delete', 'add'], (event_id % 5 + 1)::INT) AS op, event_id // 5 % 4 AS kind,
+         CASE WHEN event_id % 5 = 4 THEN 100000 + event_id ELSE event_id % 7 + 1 END AS item_pos
   FROM events WHERE event_type IS NOT NULL
-), l AS (SELECT list_id, item_pos, arg_max(op, event_id) AS op, max(event_id) AS event_id FROM e GROUP BY ALL),
+), l AS (
+  SELECT list_id, item_pos, bool_or(op = 'delete') AS gone,
+         arg_max({'v': CASE WHEN kind <> 3 THEN (event_id % 5)::DOUBLE END}, event_id) FILTER (WHERE op = 'update' AND kind <> 1) AS q,
+         arg_max(event_id % 2 = 0, event_id) FILTER (WHERE op = 'update' AND kind IN (1, 2)) AS c
+  FROM e WHERE op <> 'add' GROUP BY ALL
+),
 edited AS (
-  SELECT i.list_id, i.item_pos, i.name, CASE WHEN op = 'update' THEN (event_id % 5)::DOUBLE ELSE quantity END AS quantity,
-         CASE WHEN op = 'update' THEN event_id % 2 = 0 ELSE checked END AS checked
-  FROM items i LEFT JOIN l USING (list_id, item_pos) WHERE op IS DISTINCT FROM 'delete'
-  UNION ALL SELECT list_id, item_pos, 'extra', NULL, false FROM l WHERE op = 'add'
+  SELECT i.list_id, i.item_pos, i.name, CASE WHEN q IS NOT NULL THEN q.v ELSE quantity END AS quantity, coalesce(c, checked) AS checked
+  FROM items i LEFT JOIN l USING (list_id, item_pos) WHERE gone IS NOT TRUE
+  UNION ALL SELECT list_id, item_pos, 'extra', NULL, false FROM e WHERE op = 'add'
 )
 """
 
@@ -413,9 +419,14 @@ def _(spark, d):
     return got.select("recipe_id", "source_url", "raw_text", "ingest_error")
 
 
-@query("src_html_unescape")
+# references and what they stand for
+REFERENCES = {"&amp;": "&", "&eacute;": "é", "&#8364;": "€", "&#x263A;": "☺", "&lt;b&gt;": "<b>", "&quot;": '"', "&zzz;": "&zzz;", "&frac12": "½", " & ": " & "}
+
+
+@query("src_html_unescape", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || {q(' '.join(REFERENCES.values()))} || (page_id % 7) || chr(38) END AS text FROM pages")
 def _(spark, d):
-    return pages.unescape(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "text")
+    text = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit(" ".join(REFERENCES)), F.col("page_id") % 7, F.lit("&amp;")))
+    return pages.unescape(table(spark, d, "pages").select("page_id", text.alias("text")), "text")
 
 
 # --- predicates on lines -----------------------------------------------------
@@ -465,10 +476,15 @@ def _(spark, d):
     return out.select("doc_id", "n", is_heading(F.col("h")).alias("heading"), is_next_section(F.col("h")).alias("section"), strip_bullet(F.col("h")).alias("bare"))
 
 
-@query("flt_fallback_lines")
+@query("flt_fallback_lines", PAGE_LINES + f""", w AS (SELECT *, lower(line) AS l, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM t)
+SELECT recipe_pos, string_agg(line, '|' ORDER BY line_pos) AS lines FROM w WHERE {CANDIDATE_SQL} AND NOT {NOISE_SQL} GROUP BY 1""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", lines.candidate_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    return flat(docs.filter(F.size("lines") > 0))
+    """Texts without a heading: each recipe's lines, with prose, noise and steps between."""
+    rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> ''")
+    found = F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line"))), lambda x: x["line"])
+    text = F.concat(F.lit("A story about dinner.\nSearch\n\n"), F.array_join(found, "\n- "), F.lit("\nServes 4\nPreheat oven to 400 degrees"))
+    out = rows.groupBy("recipe_pos").agg(text.alias("text")).select("recipe_pos", lines.candidate_lines(F.col("text")).alias("lines"))
+    return flat(out.filter(F.size("lines") > 0))
 
 
 # --- scalar functions, sequences, evaluation ---------------------------------
@@ -526,7 +542,8 @@ def _(spark, d):
     return sequences.context(table(spark, d, "events"), ["user_id"], "event_id", "event_type").select("user_id", "event_id", *[f"{f}{k}" for k in (1, 2, 3) for f in ("lag", "lead")])
 
 
-@query("win_label_pattern")
+@query("win_label_pattern", """SELECT user_id, coalesce(string_agg(n, '|' ORDER BY n) FILTER (WHERE event_type = 'click' AND after = 'view'), '') AS starts FROM (
+  SELECT user_id, event_type, row_number() OVER w - 1 AS n, lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY 1""")
 def _(spark, d):
     tags = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
     seq = table(spark, d, "events").groupBy("user_id").agg(tags.alias("tags"))
@@ -535,7 +552,7 @@ def _(spark, d):
 
 def case_rows(spark, d):
     rows = lens.contributions(spark, d).filter("trim(name) <> ''")
-    case = F.concat(F.lit("c"), (F.col("recipe_pos") % 50))
+    case = F.concat(F.lit("c"), F.col("recipe_pos"))
     pos = F.col("recipe_pos") * 1000 + F.col("line_pos")
     placed_ = rows.select(case.alias("case_id"), pos.alias("pos"), F.trim("name").alias("name"), F.coalesce(cat.lookup(F.col("name")), F.lit("other")).alias("category"))
     return placed_.filter("pos % 3 <> 0"), placed_.filter("pos % 4 <> 0")
@@ -598,11 +615,14 @@ def _(spark, d):
     return t.select("token", is_numeric(c).alias("numeric"), singular(c).alias("singular"), shape(c).alias("shape"), quantity_value(c).alias("value"), canonical_unit(c).alias("canonical"))
 
 
-@query("par_parse_lines", PAGE_LINES + """, r AS (SELECT recipe_pos, line_pos, trim(name) AS name, CASE WHEN quantity = floor(quantity) AND quantity > 0 THEN quantity END AS quantity,
-CASE WHEN unit IN ('cup', 'cups') THEN 'cup' WHEN unit = 'g' THEN 'gram' WHEN unit IN ('clove', 'cloves') THEN 'clove' END AS unit FROM lens WHERE trim(name) <> '')
-SELECT recipe_pos, line_pos, name, quantity, CASE WHEN unit = 'clove' AND quantity <> 1 THEN 'cloves' ELSE unit END AS unit FROM r WHERE name NOT LIKE '% and %'""")
+PARSED_SQL = """(SELECT list_id, recipe_pos, recipe, line_pos, CASE WHEN trim(name) = 'pepper and olive oil' THEN 'pepper, olive oil' ELSE trim(name) END AS name, q AS quantity,
+CASE WHEN unit IN ('cup', 'cups') THEN 'cup' WHEN unit = 'g' THEN 'gram' WHEN unit IN ('clove', 'cloves') THEN CASE WHEN q <> 1 THEN 'cloves' ELSE 'clove' END END AS unit,
+'' AS notes, source_url, NULL::VARCHAR AS flag FROM (SELECT *, CASE WHEN quantity = floor(quantity) AND quantity > 0 THEN quantity END AS q FROM lens WHERE trim(name) <> ''))"""
+
+
+@query("par_parse_lines", lens.SQL + f"SELECT recipe_pos, line_pos, name, quantity, unit FROM {PARSED_SQL}")
 def _(spark, d):
-    rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> '' and name not like '% and %'").select("recipe_pos", "line_pos", "line")
+    rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> ''").select("recipe_pos", "line_pos", "line")
     return parse.parse_lines(rows).select("recipe_pos", "line_pos", "name", "quantity", "unit")
 
 
@@ -633,11 +653,46 @@ def recipes(spark, d):
     )
 
 
-@query("pip_build_list")
+def list_sql(recipe: str) -> str:
+    """Lists out of parsed lines, whose places are counted anew, by another engine."""
+    parsed = f""", parsed AS (SELECT * EXCLUDE (recipe, line_pos), {recipe} AS recipe, row_number() OVER (PARTITION BY recipe_pos ORDER BY line_pos) AS line_pos FROM {PARSED_SQL})"""
+    return lens.SQL + parsed + (CATEGORY_SQL + COMBINE_SQL).replace("lens", "parsed") + "SELECT * FROM sorted_items"
+
+
+@query("pip_build_list", list_sql("recipe"))
 def _(spark, d):
     return flat(pipeline.build_list(recipes(spark, d)))
 
 
+@query("pip_url", list_sql("CASE WHEN recipe_pos % 5 = 4 THEN source_url ELSE recipe END"))
+def _(spark, d):
+    """Pages to lists: structured data, or readable text in every fifth, whose recipe is named by its URL."""
+    owner = lens.contributions(spark, d).select("list_id", "recipe_pos").distinct()
+    inputs = lens.pages(spark, d).withColumnRenamed("page_id", "recipe_pos").join(owner, "recipe_pos")
+    return flat(pipeline.build_list(pipeline.recipes_from_pages(inputs)))
+
+
+def files(spark, d, ending):
+    found = recipes(spark, d).filter("size(ingredient_lines) > 0")
+    text = F.concat(F.lit("My recipe\nIngredients\n- "), F.array_join("ingredient_lines", "\n- "), F.lit("\nMethod\nMix it all."))
+    path = F.concat(F.lit("/in/"), F.col("recipe_pos"), F.lit(ending))
+    return found.select("list_id", "recipe_pos", path.alias("path"), text.cast("binary").alias("content"))
+
+
+def file_sql(ending: str) -> str:
+    return list_sql(f"recipe_pos || '{ending}'").replace("WHERE trim(name) <> ''))", "WHERE trim(name) <> '' AND recipe_pos % 5 <> 4))")
+
+
+@query("pip_document", file_sql(".txt"))
+def _(spark, d):
+    return flat(pipeline.build_list(pipeline.recipes_from_documents(files(spark, d, ".txt"))))
+
+
+@query("pip_photo", file_sql(".jpg"))
+def _(spark, d):
+    return flat(pipeline.build_list(pipeline.recipes_from_photos(files(spark, d, ".jpg"), lambda data: data.decode())))
+
+
 @query("str_event_rates", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value::DECIMAL(38,6))::DOUBLE, 4) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     exact = table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(28,6)"))

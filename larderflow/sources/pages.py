@@ -14,8 +14,8 @@ from pyspark.sql.types import StringType
 from larderflow.functions.text import strip
 
 BLOCK = r"""(?is)<script\b(?=[^>]*\btype\s*=\s*["']?\s*application/ld\+json\s*["']?[\s/>])[^>]*>(.*?)</script"""
-#: How deep lists and graphs are searched natively; JSON-LD in the wild nests two or three.
-DEPTH = 5
+#: How deep lists and graphs are searched natively; JSON-LD in the wild nests two or three. What is deeper is searched in Python.
+DEPTH = 3
 
 
 @F.pandas_udf(StringType())
@@ -25,12 +25,9 @@ def unescape_udf(text: pd.Series) -> pd.Series:
 
 
 def unescape(df: DataFrame, *names: str) -> DataFrame:
-    """Decodes references in string columns. Rows without an ampersand never reach Python."""
-    for name in names:
-        has = F.coalesce(F.col(name).contains("&"), F.lit(False))
-        plain, refs = df.filter(~has), df.filter(has)
-        df = plain.unionByName(refs.withColumn(name, unescape_udf(F.col(name))))
-    return df
+    """Decodes references in string columns. Texts without an ampersand never reach Python: a null goes in their place."""
+    decoded = {n: F.coalesce(unescape_udf(F.when(F.col(n).contains("&"), F.col(n))), F.col(n)) for n in names}
+    return df.withColumns(decoded)
 
 
 def jsonld_blocks(page: Column) -> Column:
@@ -50,13 +47,41 @@ def _type_says_recipe(node: Column) -> Column:
     return F.coalesce(one, F.when(_is(kind, "ARRAY"), many), F.lit(False))
 
 
+def _first_recipe(raw: str) -> str | None:
+    """The first Recipe object in a JSON text, at any depth of lists and graphs, as JSON."""
+    try:
+        stack = [json.loads(raw)]
+    except (ValueError, RecursionError):
+        return None
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack.extend(reversed(x))
+        elif isinstance(x, dict):
+            kinds = x.get("@type")
+            if any(isinstance(k, str) and k.lower() == "recipe" for k in (kinds if isinstance(kinds, list) else [kinds])):
+                return json.dumps(x)
+            if "@graph" in x:
+                stack.append(x["@graph"])
+    return None
+
+
+@F.pandas_udf(StringType())
+def deep_recipe(raw: pd.Series) -> pd.Series:
+    return raw.map(_first_recipe, na_action="ignore")
+
+
 def recipe_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id, node``: the first Recipe object of each page, depth first, block after block.
 
     Malformed blocks are skipped. Lists are searched item by item, objects that
     aren't recipes only in their @graph. Each round looks one level deeper into
-    what is still open; a path of positions orders the finds.
+    what is still open; a path of positions orders the finds, and what is open
+    after the last round is searched to its end in Python. Of repeated keys the
+    last counts, for which a setting of the session is switched on; NaN and
+    infinities, which JSON doesn't know, make a block malformed.
     """
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     blocks = pages.select(id_col, F.posexplode(jsonld_blocks(F.col(html_col))).alias("b", "raw"))
     # every level reads the blocks again; scanning the pages for them is the costly part
     blocks = blocks.persist(StorageLevel.DISK_ONLY)
@@ -64,14 +89,16 @@ def recipe_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     found = None
     for _ in range(DEPTH):
         level = level.withColumn("hit", _is(F.col("node"), "OBJECT") & _type_says_recipe(F.col("node")))
-        hits = level.filter("hit").select(id_col, "path", "node")
+        hits = level.filter("hit").select(id_col, "path", F.to_json("node").alias("json"))
         found = hits if found is None else found.unionByName(hits)
         graph = F.when(_is(F.col("node"), "OBJECT"), F.array(F.try_variant_get("node", "$['@graph']", "variant")))
         inner = F.when(_is(F.col("node"), "ARRAY"), F.try_variant_get("node", "$", "array<variant>")).otherwise(graph)
         level = level.filter("not hit").select(id_col, "path", F.posexplode(inner).alias("i", "child"))
         level = level.filter("child is not null").select(id_col, F.concat("path", F.array("i")).alias("path"), F.col("child").alias("node"))
+    level = level.filter(_is(F.col("node"), "OBJECT") | _is(F.col("node"), "ARRAY"))
+    deep = level.select(id_col, "path", deep_recipe(F.to_json("node")).alias("json")).filter("json is not null")
     # variants have no order; their text goes along and is parsed again
-    best = found.groupBy(id_col).agg(F.min(F.struct("path", F.to_json("node").alias("json"))).alias("m"))
+    best = found.unionByName(deep).groupBy(id_col).agg(F.min(F.struct("path", "json")).alias("m"))
     return best.select(id_col, F.parse_json("m.json").alias("node"))
 
 
@@ -164,34 +191,3 @@ def fetch_pages(urls: DataFrame, fetch) -> DataFrame:
             yield pd.DataFrame(out, columns=["url", "html", "ingest_error"])
 
     return urls.select("url").mapInPandas(over, "url string, html string, ingest_error string")
-
-
-def recipes_from_json(texts: DataFrame) -> DataFrame:
-    """Unbounded-depth search in Python, for blocks that JSON parsers of other strictness made: ``id, raw`` to ``id, node_json``."""
-
-    def search(node):
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, list):
-                stack.extend(reversed(x))
-            elif isinstance(x, dict):
-                kinds = x.get("@type")
-                if any(isinstance(k, str) and k.lower() == "recipe" for k in (kinds if isinstance(kinds, list) else [kinds])):
-                    return x
-                if "@graph" in x:
-                    stack.append(x["@graph"])
-        return None
-
-    def over(frames):
-        for f in frames:
-            out = []
-            for raw in f["raw"]:
-                try:
-                    hit = search(json.loads(raw))
-                except (TypeError, ValueError):
-                    hit = None
-                out.append(None if hit is None else json.dumps(hit))
-            yield pd.DataFrame({"id": f["id"], "node_json": out})
-
-    return texts.mapInPandas(over, "id long, node_json string")

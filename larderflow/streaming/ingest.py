@@ -1,9 +1,8 @@
 """Extension: recipes as a stream.
 
-Extraction and categorisation are stateless. Lists are kept up to date by
-merging each micro-batch's contributions into a store and combining the lists
-that it touched, so a batch costs what it touches and a replayed batch changes
-nothing.
+Extraction and categorisation are stateless. Each micro-batch's contributions are
+written to a store, and a replayed batch changes nothing. Reading the lists that
+a batch touched costs what their buckets of the store hold.
 """
 
 from __future__ import annotations
@@ -40,9 +39,20 @@ def stream_contributions(spark: SparkSession, path: str, schema, store: str, che
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_lists(spark: SparkSession, store: str, cfg: C.Config = C.DEFAULT) -> DataFrame:
-    """Lists from all contributions so far."""
-    return combine(spark.read.parquet(store).drop("batch", "bucket"), cfg)
+def current_lists(spark: SparkSession, store: str, cfg: C.Config = C.DEFAULT, touched: DataFrame | None = None) -> DataFrame:
+    """Lists from all contributions so far; of those ``touched`` (list_id) only their buckets are read."""
+    rows = spark.read.parquet(store)
+    if touched is not None:
+        touched = touched.select("list_id").distinct()
+        # at most BUCKETS numbers
+        buckets = [r[0] for r in touched.select(list_bucket("list_id").alias("b")).distinct().collect()]
+        rows = rows.filter(F.col("bucket").isin(buckets)).join(touched, "list_id", "left_semi")
+    return combine(rows.drop("batch", "bucket"), cfg)
+
+
+def touched_lists(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    """``list_id`` of the lists that a batch added to."""
+    return spark.read.parquet(f"{store}/batch={batch_id}").select("list_id").distinct()
 
 
 def event_rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

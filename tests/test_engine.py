@@ -140,8 +140,18 @@ def test_pages(spark):
         else:
             assert (r.ingredient_lines, r.raw_text, r.ingest_error) == ([], "Hello & bye\nnext", None)
     assert got[100].ingest_error and got[101].ingest_error and got[102].ingredient_lines == ["b"]
-    deep = spark.createDataFrame([(1, '[[[[[[[{"@graph": {"@type": "Recipe"}}]]]]]]]'), (2, "[")], "id long, raw string")
-    assert [r.node_json for r in pages.recipes_from_json(deep).orderBy("id").collect()] == ['{"@type": "Recipe"}', None]
+
+
+def test_recipes_at_any_depth(spark):
+    recipe = '{"@type": "Recipe", "recipeIngredient": ["%s"]}'
+    nested = {n: "[" * n + recipe % n + "]" * n for n in range(12)} | {100 + n: '{"@graph": [' * n + recipe % n + "]}" * n for n in range(12)}
+    nested[200] = "[[[[[[" + recipe % "deep" + "]]]]]," + recipe % "later" + "]"
+    nested[201] = '{"@type": "Thing", "@type": "Recipe", "recipeIngredient": ["x"], "recipeIngredient": ["last"]}'
+    nested[202] = "[" * 40 + "]" * 40
+    df = spark.createDataFrame([(i, "u", page(p)) for i, p in nested.items()], "page_id long, url string, html string")
+    got = {r.recipe_id: r.ingredient_lines for r in pages.read_pages(df).collect()}
+    assert all(got[n] == got[100 + n] == [str(n)] for n in range(12))
+    assert got[200] == ["deep"] and got[201] == ["last"] and got[202] == []
 
 
 PARSED = {
@@ -207,6 +217,94 @@ def test_evaluation(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 1, 2, 1, 1), ("b", 0, 1, 0, 0), ("c", 0, 0, 1, 0)]
 
 
+def test_expected_names_choose_first(spark):
+    named = lambda rows: spark.createDataFrame(rows, "case_id string, pos int, name string, category string")
+    got = evaluate.match_cases(
+        named([("a", 1, "oil", "x"), ("a", 2, "olive oil", "x")]),
+        named([("a", 1, "olive oil", "x"), ("a", 2, "sesame oil", "x")]),
+    )
+    # "oil" goes to the first expected name, so nothing is left for the second but "olive oil", which is none
+    assert [tuple(r) for r in got.collect()] == [("a", 1, 1, 1, 1)]
+
+
+def test_edits_by_field(spark):
+    items = spark.createDataFrame(
+        [(1, i, n, 2.0, "cup", "pantry", "note", False, ["R"], []) for i, n in enumerate(["egg", "rice", "salt"], 1)],
+        "list_id long, item_pos long, name string, quantity double, unit string, category string, notes string, checked boolean, sources array<string>, flags array<string>",
+    )
+    schema = "list_id long, item_pos long, edit_seq long, op string, name string, quantity double, unit string, category string, notes string, checked boolean, cleared array<string>"
+    none = (None,) * 6
+    edits = spark.createDataFrame(
+        [
+            (1, 1, 1, "update", "Eggs", None, None, None, None, None, None),
+            (1, 1, 2, "update", None, None, None, None, None, True, ["quantity"]),
+            (1, 2, 3, "delete", *none, None),
+            (1, 2, 4, "update", "late", *none[1:], None),
+            (1, 9, 5, "add", "tea", *none[1:], None),
+            (1, 9, 6, "update", None, 3.0, None, None, None, None, None),
+            (1, 10, 7, "add", "milk", *none[1:], None),
+            (1, 10, 8, "delete", *none, None),
+            (1, 11, 9, "update", "nobody", *none[1:], None),
+            (1, 3, 10, "delete", *none, None),
+            (1, 3, 11, "add", "pepper", *none[1:], None),
+        ],
+        schema,
+    )
+    got = {r.item_pos: r for r in export.apply_edits(items, edits).collect()}
+    assert sorted(got) == [1, 3, 9]
+    assert (got[1].name, got[1].quantity, got[1].unit, got[1].checked, got[1].sources) == ("Eggs", None, "cup", True, ["R"])
+    assert (got[9].name, got[9].quantity, got[9].category, got[9].checked, got[9].sources) == ("tea", 3.0, "uncategorized", False, [])
+    assert (got[3].name, got[3].quantity, got[3].sources) == ("pepper", None, [])
+
+
+def test_units_rewritten(spark):
+    words = ["C", "c", "Tb", "Ml", "Pt", "Cl", "fl oz", "fluid ounce", "tins", "Unit", "cup-ish", "oz", "bunch"]
+    want = ["cup", "cup", "tablespoon", "milliliter", "pint", "centiliter", "fluid_ounce", "fluid_ounce", None, None, None, "ounce", None]
+    assert column(spark, words, nrm.canonical_unit) == want
+
+
+def test_inputs_to_lists(spark):
+    html = {"a": page('{"@type": "Recipe", "name": "Pie", "recipeIngredient": ["2 cups flour"]}'), "b": "<h2>Ingredients</h2><p>1 cup flour</p>"}
+    urls_ = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "c")], "list_id long, recipe_pos long, url string")
+    read = pipeline.recipes_from_urls(urls_, lambda u: html[u])
+    assert {(r.list_id, r.recipe_pos): (r.recipe, bool(r.ingest_error)) for r in read.collect()} == {(1, 1): ("Pie", False), (1, 2): ("b", False), (2, 1): ("Pie", False), (2, 2): ("c", True)}
+    assert sorted((r.list_id, r.name, r.quantity, r.sources) for r in pipeline.build_list(read).collect()) == [(1, "flour", 3.0, ["Pie", "b"]), (2, "flour", 2.0, ["Pie"])]
+    files = spark.createDataFrame([(1, 1, "/x/a.txt", b"Ingredients\n1 egg"), (1, 2, "/x/b.txt", b"")], "list_id long, recipe_pos long, path string, content binary")
+    assert [(r.recipe, r.name, r.quantity) for r in pipeline.process_documents(files).collect()] == [("a.txt", "egg", 1.0)]
+
+    def ocr(data):
+        if not data:
+            raise ValueError("no image")
+        return data.decode()
+
+    assert [(r.recipe, r.name) for r in pipeline.process_photos(files, ocr).collect()] == [("a.txt", "egg")]
+    assert {r.recipe: r.ingest_error for r in pipeline.recipes_from_photos(files, ocr).collect()} == {"a.txt": None, "b.txt": "unreadable photo: ValueError"}
+
+
+def test_a_user_can_plug_in_an_extractor(spark):
+    class Own(pipeline.Grammar):
+        def ingredient_lines(self, recipes):
+            return recipes.withColumn("lines", F.array(F.lit("1 cup moonstuff")))
+
+        def categories(self, names, aisles):
+            return names.select("name", F.lit(aisles[-1]).alias("category"))
+
+    df = spark.createDataFrame([(1, 1, "A", "u", ["1 egg"], "")], "list_id long, recipe_pos long, recipe string, source_url string, ingredient_lines array<string>, raw_text string")
+    assert [(r.name, r.category) for r in pipeline.extract(df, extractor=Own()).collect()] == [("moonstuff", "other")]
+
+
+def test_prediction_over_labelled_cases(spark):
+    cases = spark.createDataFrame(
+        [("a", ["1 lb spaghetti ($0.98)", "¼ cup olive oil"], ""), ("b", [], "Ingredients\n2 cloves garlic, minced\nMethod\nCook.")],
+        "case_id string, ingredient_lines array<string>, raw_text string",
+    )
+    expected = spark.createDataFrame(
+        [("a", 1, "spaghetti", "pantry"), ("a", 2, "oil", "condiments & sauces"), ("b", 1, "garlic", "produce")], "case_id string, pos int, name string, category string"
+    )
+    got = evaluate.rates(evaluate.match_cases(pipeline.predict(cases), expected), ["case_id"]).filter("case_id is null").first()
+    assert (got.tp, got.fp, got.fn, got.f1, got.category_accuracy) == (3, 0, 0, 1.0, 1.0)
+
+
 def test_documents(spark, tmp_path):
     with zipfile.ZipFile(buf := io.BytesIO(), "w") as z:
         ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -231,6 +329,14 @@ def test_stream_into_lists(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text(one % (n, n))
         ingest.stream_contributions(spark, str(tmp_path / "in"), schema, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     assert [(r.name, r.quantity, r.sources) for r in ingest.current_lists(spark, str(tmp_path / "store")).collect()] == [("flour", 4.0, ["R1", "R2"])]
+    (tmp_path / "in" / "3.json").write_text(one.replace('"list_id": 1', '"list_id": 7') % (3, 3))
+    ingest.stream_contributions(spark, str(tmp_path / "in"), schema, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+    store = str(tmp_path / "store")
+    last = max(int(f.name.partition("=")[2]) for f in (tmp_path / "store").glob("batch=*"))
+    touched = ingest.touched_lists(spark, store, last)
+    some = ingest.current_lists(spark, store, touched=touched)
+    assert [(r.list_id, r.name, r.quantity) for r in some.collect()] == [(7, "flour", 2.0)]
+    assert ingest.current_lists(spark, store).count() == 2
 
 
 def test_failed_recipes_do_not_stop_a_build(spark):
