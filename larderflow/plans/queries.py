@@ -608,9 +608,21 @@ def _(spark, d):
     return after_references(rows, "normal").withColumn("tokens", F.array_join(tokenise(F.col("normal")), MARK))
 
 
-@query("tok_attributes", "SELECT DISTINCT list_extract(string_split(p_name, ' '), 1) AS token, false AS numeric, NULL::VARCHAR AS singular, regexp_replace(list_extract(string_split(p_name, ' '), 1), '[a-z]', 'x', 'g') AS shape, NULL::DOUBLE AS value, NULL::VARCHAR AS canonical FROM part")
+# tokens with what they are: numeric, singular, shape, value, canonical unit
+TOKENS = (
+    ("cups", False, "cup", "xxxx", None, "cup"), ("Cups", False, "Cup", "Xxxx", None, None), ("tbsp", False, None, "xxxx", None, "tablespoon"), ("Tb", False, None, "Xx", None, "tablespoon"),
+    ("mL", False, "mL", "xX", None, "milliliter"), ("leaves", False, "leaf", "xxxxxx", None, None), ("boxes", False, "box", "xxxxx", None, None), ("tins", False, "tin", "xxxx", None, None),
+    ("#1$2", True, None, "#d$d", 0.5, None), ("1#3$4", True, None, "d#d$d", 1.75, None), ("8x", True, None, "dx", 8.0, None), ("two", True, None, "xxx", 2.0, None), ("1-2", True, None, "d-d", 1.0, None),
+    ("2.5", True, None, "d.d", 2.5, None), ("00", False, None, "dd", 0.0, None), ("dozen", True, None, "xxxxx", None, None), ("jalapeño", False, None, "xxxxxxxx", None, None),
+)
+_value = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else str(v).lower()
+
+
+@query("tok_attributes", "SELECT DISTINCT list_extract(string_split(p_name, ' '), 1) AS token, false AS numeric, NULL::VARCHAR AS singular, regexp_replace(list_extract(string_split(p_name, ' '), 1), '[a-z]', 'x', 'g') AS shape, NULL::DOUBLE AS value, NULL::VARCHAR AS canonical FROM part UNION ALL VALUES "
+       + ", ".join("(" + ", ".join(map(_value, t)) + ")" for t in TOKENS))
 def _(spark, d):
     t = table(spark, d, "part").select(F.split("p_name", " ")[0].alias("token")).distinct()
+    t = t.union(spark.createDataFrame([(t[0],) for t in TOKENS], "token string"))
     c = F.col("token")
     return t.select("token", is_numeric(c).alias("numeric"), singular(c).alias("singular"), shape(c).alias("shape"), quantity_value(c).alias("value"), canonical_unit(c).alias("canonical"))
 
@@ -638,6 +650,7 @@ CASE WHEN u IN ('cup', 'cups') THEN 'cup' WHEN u = 'g' THEN 'gram' WHEN u IN ('c
 FROM r WHERE name NOT LIKE '% and %'""")
 def _(spark, d):
     rows = lens.line_text(lens.contributions(spark, d)).filter("trim(name) <> '' and name not like '% and %'").select("recipe_pos", "line_pos", "line")
+    # only lines of one name: what hand-set weights make of two is no fixed value
     return labelled.parse_labelled(rows).select("recipe_pos", "line_pos", "name", "quantity", "unit")
 
 
