@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
+# The code points of that class: controls, then spaces and separators of Unicode.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any script at either end (trim() only knows the space)."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space of any script at either end (trim() only knows the space); no pattern, as it runs on every row."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -20,8 +22,7 @@ def words(text: Column) -> Column:
 
 def strip_chars(text: Column, chars: str) -> Column:
     """Without any of ``chars`` at either end."""
-    cls = "[" + "".join(f"\\{c}" for c in chars) + "]+"
-    return F.regexp_replace(text, rf"\A{cls}|{cls}\z", "")
+    return F.btrim(text, F.lit(chars))
 
 
 def blank(text: Column) -> Column:

@@ -46,41 +46,82 @@ def merged_text(rows: DataFrame) -> DataFrame:
     return first.groupBy(*GROUP).agg(pick("notes"), pick("sources"), pick("flags"))
 
 
-def merged_amounts(rows: DataFrame) -> DataFrame:
-    """``quantity, unit, amount_note, mixed`` of each group that has any amount.
+def _with_unit_key(rows: DataFrame) -> DataFrame:
+    """Adds ``unit_key``, which is null for rows without any amount."""
+    has = F.col("quantity").isNotNull() | (strip(F.coalesce("unit", F.lit(""))) != "")
+    return rows.withColumn("unit_key", F.when(has, unit_key(F.col("unit"))))
 
-    One unit: quantities are summed (in decimal, so the order of rows never
-    matters; only those of 1e17 and more are added as doubles, in any order) and
-    the first spelling of the unit is shown. Several: neither, and
-    a note lists the amounts by unit in first-seen order, then by line.
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    """One row per group and unit key, no amount being a key of its own: first name, first aisle, first spelling and sum.
+
+    Whole quantities below 1e9 are summed as integers and others in decimal, so
+    the order of rows never matters; only those of 1e17 and more are added as
+    doubles, in any order.
     """
-    has = F.col("quantity").isNotNull() | (strip(F.coalesce("unit", F.lit(""))) != "")
-    amounts = rows.filter(has).withColumn("unit_key", unit_key(F.col("unit")))
-    named = strip(F.coalesce("unit", F.lit(""))) != ""
-    exact = F.when(~F.isnan("quantity") & (F.abs("quantity") < 1e17), F.col("quantity").cast("decimal(38,12)"))
-    by_unit = amounts.groupBy(*GROUP, "unit_key").agg(
-        F.min(_position()).alias("at"),
-        F.sum(exact).cast("double").alias("exact"),
-        F.sum(F.when(exact.isNull(), F.col("quantity"))).alias("other"),
-        F.min(F.when(named, F.struct("recipe_pos", "line_pos", "unit"))).getField("unit").alias("shown"),
-    )
+    known = F.col("category") != C.UNCATEGORIZED
+    spelt = strip(F.coalesce("unit", F.lit(""))) != ""
+    first = lambda c, when: F.min(F.when(when, F.struct("recipe_pos", "line_pos", c))).alias(f"first_{c}")
+    size = F.abs("quantity")
+    whole = (size < 1e9) & (F.floor("quantity") == F.col("quantity"))
+    small = ~F.isnan("quantity") & (size < 1e17)
+    sums = [
+        F.sum(F.when(whole, F.col("quantity").cast("long"))).alias("whole"),
+        F.sum(F.when(small & ~whole, F.col("quantity").cast("decimal(38,12)"))).alias("parts"),
+        F.sum(F.when(~small, F.col("quantity"))).alias("other"),
+    ]
+    out = rows.groupBy(*GROUP, "unit_key").agg(first("name", F.lit(True)), first("category", known), first("unit", spelt), *sums)
+    # types whose sum still has twelve decimals
+    whole, parts = F.col("whole").cast("decimal(20,0)"), F.col("parts").cast("decimal(37,12)")
+    exact = F.coalesce((whole + parts).cast("double"), parts.cast("double"), whole.cast("double"))
+    out = out.withColumn("exact", exact).drop("whole", "parts")
     total = F.when(F.col("other").isNull(), F.col("exact")).otherwise(F.coalesce("exact", F.lit(0.0)) + F.col("other"))
-    one = by_unit.withColumn("total", total).groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("units"), F.max("total").alias("quantity"), F.max("shown").alias("unit")
+    return out.withColumn("total", total).drop("exact", "other")
+
+
+def _rolled_up(rows: DataFrame) -> DataFrame:
+    """One row per group: ``at, name, category``, its number of ``units``, and ``quantity, unit`` if that is one."""
+    out = _by_unit(rows).groupBy(*GROUP).agg(
+        F.min("first_name").alias("first"),
+        F.min("first_category").getField("category").alias("category"),
+        F.count("unit_key").alias("units"),
+        F.max("total").alias("total"),
+        F.max(F.col("first_unit").getField("unit")).alias("spelling"),
     )
-    single = one.filter("units = 1").select(*GROUP, "quantity", "unit", F.lit("").alias("amount_note"), F.lit(False).alias("mixed"))
-    # only groups of several units need their lines spelled out
-    several = one.filter("units > 1").select(*GROUP)
-    unit_at = by_unit.select(*GROUP, "unit_key", F.col("at").alias("unit_at"))
-    parts = amounts.join(several, GROUP, "left_semi").join(unit_at, [*GROUP, "unit_key"])
+    single = F.col("units") == 1
+    return out.select(
+        *GROUP, F.struct("first.recipe_pos", "first.line_pos").alias("at"), F.col("first.name").alias("name"), F.coalesce("category", F.lit(C.UNCATEGORIZED)).alias("category"),
+        "units", F.when(single, F.col("total")).alias("quantity"), F.when(single, F.col("spelling")).alias("unit"),
+    )
+
+
+def _mixed_notes(rows: DataFrame) -> DataFrame:
+    """``amount_note`` of each group of several units: its amounts by unit in first-seen order, then by line.
+
+    Only such groups have their lines spelled out, as the note itself does; one
+    join picks their rows and brings the place of each unit.
+    """
+    amounts = rows.filter("unit_key is not null")
+    units = amounts.groupBy(*GROUP, "unit_key").agg(F.min(_position()).alias("unit_at"))
+    units = units.withColumn("units", F.count(F.lit(1)).over(W.partitionBy(*GROUP))).filter("units > 1").drop("units")
+    parts = amounts.select(*GROUP, "unit_key", "recipe_pos", "line_pos", "quantity", "unit").join(units, [*GROUP, "unit_key"])
     parts = parts.withColumn("part", format_amount(F.col("quantity"), F.col("unit")))
     listed = parts.groupBy(*GROUP).agg(
         F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("unit_at", "recipe_pos", "line_pos", "part")))).alias("p")
     )
     text = F.array_join(F.transform("p", lambda p: p["part"]), " + ")
-    note = F.when(F.size("p") > 0, F.concat(F.lit("amounts: "), text)).otherwise(F.lit(""))
-    mixed = listed.select(*GROUP, F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit"), note.alias("amount_note"), F.lit(True).alias("mixed"))
-    return single.unionByName(mixed)
+    return listed.select(*GROUP, F.when(F.size("p") > 0, F.concat(F.lit("amounts: "), text)).otherwise(F.lit("")).alias("amount_note"))
+
+
+def merged_amounts(rows: DataFrame) -> DataFrame:
+    """``quantity, unit, amount_note, mixed`` of each group that has any amount.
+
+    One unit: quantities are summed and the first spelling of the unit is shown.
+    Several: neither, and a note lists the amounts.
+    """
+    rows = _with_unit_key(rows)
+    out = _rolled_up(rows).filter("units > 0").join(_mixed_notes(rows), GROUP, "left")
+    return out.select(*GROUP, "quantity", "unit", F.coalesce("amount_note", F.lit("")).alias("amount_note"), (F.col("units") > 1).alias("mixed"))
 
 
 def sanity_flags(flags: Column, name: Column, quantity: Column, category: Column, cfg: C.Config = C.DEFAULT) -> Column:
@@ -98,17 +139,10 @@ def sanity_flags(flags: Column, name: Column, quantity: Column, category: Column
 
 def combine(ingredients: DataFrame, cfg: C.Config = C.DEFAULT) -> DataFrame:
     """One row per list and ingredient (schema ITEM), with ``item_pos`` in first-seen order."""
-    rows = keyed(ingredients, cfg)
-    placed = F.when(F.col("category") != C.UNCATEGORIZED, F.struct("recipe_pos", "line_pos", "category"))
-    base = rows.groupBy(*GROUP).agg(
-        F.min(_position()).alias("at"),
-        F.min(F.struct("recipe_pos", "line_pos", "name")).getField("name").alias("name"),
-        F.coalesce(F.min(placed).getField("category"), F.lit(C.UNCATEGORIZED)).alias("category"),
-    )
-    out = base.join(merged_text(rows), GROUP, "left").join(merged_amounts(rows), GROUP, "left")
+    rows = _with_unit_key(keyed(ingredients, cfg))
+    out = _rolled_up(rows).join(merged_text(rows), GROUP, "left").join(_mixed_notes(rows), GROUP, "left")
     none = F.array().cast("array<string>")
-    mixed = F.coalesce("mixed", F.lit(False))
-    flags = F.concat(F.coalesce("flags", none), F.when(mixed, F.array(F.lit("mixed_units"))).otherwise(none))
+    flags = F.concat(F.coalesce("flags", none), F.when(F.col("units") > 1, F.array(F.lit("mixed_units"))).otherwise(none))
     note = F.coalesce("amount_note", F.lit(""))
     notes = F.array_join(F.concat(F.when(note != "", F.array(note)).otherwise(none), F.coalesce("notes", none)), "; ")
     order = W.partitionBy("list_id").orderBy("at")
