@@ -60,7 +60,7 @@ NOISE_PHRASES = (
     "log in", "sign in", "sign up", "log out", "prep time", "cook time", "total time", "ready in", "print recipe",
     "save recipe", "jump to recipe", "internal temp", "internal temperature", "oven temperature",
 )
-TEMPERATURE = r"[0-9]+\s*°\s*[cf]\b|[0-9]+\s*degrees?\s*(celsius|fahrenheit|[cf])?\b"
+TEMPERATURE = r"\d+\s*°\s*[cf]\b|\d+\s*degrees?\s*(celsius|fahrenheit|[cf])?\b"
 
 # Whole lines that open an ingredient list or the section after it.
 HEADING = r"(?i)^\s*(ingredients?|what you('| wi)ll need|shopping list)\s*:?\s*$"
@@ -73,28 +73,27 @@ VERBS = (
     "chill freeze marinate toss arrange line grease"
 ).split()
 
-# Units in the singular; plurals follow the rule below but for those listed.
-UNITS = (
-    "ball bag bar basket batch block bottle box branch bucket bulb bunch bundle c can canister chunk clove cluster count cl cL "
-    "cube cup cutlet dash dessertspoon dollop drop ear envelope foot fl floz g gm gal gallon glass gram grind handful head jar "
-    "jigger kg kilogram knob ladle lb leaf length link l liter litre loaf milliliter millilitre ml mL mug ounce oz pack package "
-    "packet pair piece pinch pint pod pot pound pt punnet rack rasher recipe rectangle rib quart qt sachet scoop section segment "
-    "shake sheet shot shoot slab slice sprig square stalk stem stick strip tablespoon tbsp tb teaspoon tin tsp tub tube twist unit "
-    "wedge vial wheel"
-).split()
-INVARIANT_UNITS = frozenset("c cl cL fl floz g gm gal kg l ml mL oz qt".split())
-IRREGULAR_PLURALS = {"foot": "feet", "leaf": "leaves", "loaf": "loaves"}
-
-
-def plural(unit: str) -> str:
-    if unit in INVARIANT_UNITS:
-        return unit
-    return IRREGULAR_PLURALS.get(unit) or unit + ("es" if unit.endswith(("ch", "sh", "ss", "x")) else "s")
-
+# Units, plural to singular.
+UNITS = {
+    "balls": "ball", "bags": "bag", "bars": "bar", "baskets": "basket", "batches": "batch", "blocks": "block", "bottles": "bottle", "boxes": "box",
+    "branches": "branch", "buckets": "bucket", "bulbs": "bulb", "bunches": "bunch", "bundles": "bundle", "c": "c", "cans": "can",
+    "canisters": "canister", "chunks": "chunk", "cloves": "clove", "clusters": "cluster", "counts": "count", "cl": "cl", "cL": "cL", "cubes": "cube",
+    "cups": "cup", "cutlets": "cutlet", "dashes": "dash", "dessertspoons": "dessertspoon", "dollops": "dollop", "drops": "drop", "ears": "ear",
+    "envelopes": "envelope", "feet": "foot", "fl": "fl", "floz": "floz", "g": "g", "gm": "gm", "gal": "gal", "gallons": "gallon", "glasses": "glass",
+    "grams": "gram", "grinds": "grind", "handfuls": "handful", "heads": "head", "jars": "jar", "jiggers": "jigger", "kg": "kg",
+    "kilograms": "kilogram", "knobs": "knob", "ladles": "ladle", "lbs": "lb", "leaves": "leaf", "lengths": "length", "links": "link", "l": "l",
+    "liters": "liter", "litres": "litre", "loaves": "loaf", "milliliters": "milliliter", "millilitres": "millilitre", "ml": "ml", "mL": "mL",
+    "mugs": "mug", "ounces": "ounce", "oz": "oz", "packs": "pack", "packages": "package", "packets": "packet", "pairs": "pair", "pieces": "piece",
+    "pinches": "pinch", "pints": "pint", "pods": "pod", "pots": "pot", "pounds": "pound", "pts": "pt", "punnets": "punnet", "racks": "rack",
+    "rashers": "rasher", "recipes": "recipe", "rectangles": "rectangle", "ribs": "rib", "quarts": "quart", "qt": "qt", "sachets": "sachet",
+    "scoops": "scoop", "sections": "section", "segments": "segment", "shakes": "shake", "sheets": "sheet", "shots": "shot", "shoots": "shoot",
+    "slabs": "slab", "slices": "slice", "sprigs": "sprig", "squares": "square", "stalks": "stalk", "stems": "stem", "sticks": "stick",
+    "strips": "strip", "tablespoons": "tablespoon", "tbsps": "tbsp", "tbs": "tb", "teaspoons": "teaspoon", "tins": "tin", "tsps": "tsp",
+    "tubs": "tub", "tubes": "tube", "twists": "twist", "units": "unit", "wedges": "wedge", "vials": "vial", "wheels": "wheel",
+}
 
-#: Plural to singular, as listed and with a capital first letter.
-SINGULAR = {plural(u): u for u in UNITS}
-SINGULAR |= {p[0].upper() + p[1:]: s[0].upper() + s[1:] for p, s in SINGULAR.items()}
+#: The same with a capital first letter too.
+SINGULAR = UNITS | {p[0].upper() + p[1:]: s[0].upper() + s[1:] for p, s in UNITS.items()}
 UNIT_WORDS = frozenset(SINGULAR) | frozenset(SINGULAR.values())
 
 # Units of length, which are no units of amount.
@@ -121,11 +120,11 @@ SIZES = (
     "big bite-size bite-sized extra-large jumbo large lg little md medium medium-large medium-size medium-sized medium-small "
     "medium-to-large miniature regular slim sm small small-to-medium smaller smallest thick thin tiny"
 ).split()
-# Numbers as words; the longer spelling first where one begins another.
+# Numbers as words.
 NUMBER_WORDS = {
-    "one-quarter": "1/4", "one-half": "1/2", "three-quarter": "3/4", "three-quarters": "3/4",
-    **{w: str(i) for i, w in enumerate(
-        "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), 1)},
+    "one-quarter": "1/4", "one-half": "1/2", "three-quarter": "3/4", "three-quarters": "3/4", "one": "1", "two": "2", "three": "3", "four": "4",
+    "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14",
+    "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
 }
 # Vulgar fractions.
 FRACTIONS = {
