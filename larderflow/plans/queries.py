@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larderflow import config as C
 from larderflow.functions import text as T
-from larderflow.functions.normalise import after_references, before_references, canonical_unit, is_numeric, quantity_value, shape, singular, tokenise
+from larderflow.functions.normalise import canonical_unit, is_numeric, normalise, quantity_value, shape, singular, tokenise
 from larderflow.functions.predicates import is_candidate, is_heading, is_next_section, is_noise, is_temperature, strip_bullet
 from larderflow.operators import categorize as cat
 from larderflow.operators import combine as comb
@@ -558,7 +558,36 @@ def case_rows(spark, d):
     return placed_.filter("pos % 3 <> 0"), placed_.filter("pos % 4 <> 0")
 
 
-@query("jon_greedy_match")
+# each expected name, one after another, takes the first prediction with the same name that is left
+MATCH_SQL = lens.SQL.replace("WITH", "WITH RECURSIVE", 1) + CATEGORY_SQL + """, cased AS (
+  SELECT 'c' || recipe_pos AS case_id, recipe_pos * 1000 + line_pos AS pos, coalesce(nullif(category, 'uncategorized'), 'other') AS category,
+         list_distinct(list_transform(list_filter(string_split_regex(regexp_replace(lower(trim(name)), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> ''), lambda x: regexp_replace(x, 's$', ''))) AS w
+  FROM placed WHERE trim(name) <> ''
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS i FROM cased WHERE pos % 3 <> 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS k FROM cased WHERE pos % 4 <> 0),
+offers AS (
+  SELECT e.case_id, k, list(i ORDER BY i) FILTER (WHERE len(p.w) > 0 AND len(e.w) > 0 AND (list_has_all(e.w, p.w) OR list_has_all(p.w, e.w))) AS offered
+  FROM e LEFT JOIN p USING (case_id) GROUP BY ALL
+),
+steps AS (
+  SELECT DISTINCT case_id, 0::BIGINT AS k, []::BIGINT[] AS used FROM cased WHERE pos % 3 <> 0 OR pos % 4 <> 0
+  UNION ALL
+  SELECT s.case_id, o.k, list_append(used, coalesce(list_filter(coalesce(offered, []), lambda i: NOT list_contains(used, i))[1], 0)) FROM steps s JOIN offers o ON s.case_id = o.case_id AND o.k = s.k + 1
+),
+took AS (SELECT case_id, unnest(used) AS i, unnest(range(1, len(used) + 1)) AS k FROM (SELECT case_id, arg_max(used, k) AS used FROM steps GROUP BY 1)),
+hits AS (SELECT case_id, count(*) AS tp, count(*) FILTER (WHERE p.category = e.category) AS category_hits FROM took JOIN p USING (case_id, i) JOIN e USING (case_id, k) GROUP BY 1),
+scored AS (
+  SELECT case_id, coalesce(tp, 0)::BIGINT AS tp, (coalesce(np, 0) - coalesce(tp, 0))::BIGINT AS fp, (coalesce(ne, 0) - coalesce(tp, 0))::BIGINT AS fn, coalesce(category_hits, 0)::BIGINT AS category_hits
+  FROM (SELECT DISTINCT case_id FROM steps) LEFT JOIN hits USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS np FROM p GROUP BY 1) USING (case_id)
+  LEFT JOIN (SELECT case_id, count(*) AS ne FROM e GROUP BY 1) USING (case_id)
+)"""
+RATES_SQL = """SELECT {0}, tp, fp, fn, category_hits, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+CASE WHEN tp = 0 THEN 0 ELSE category_hits / tp END AS category_accuracy FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall
+FROM (SELECT {0}, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(category_hits)::BIGINT AS category_hits FROM {1} GROUP BY ROLLUP ({0})))"""
+
+
+@query("jon_greedy_match", MATCH_SQL + "SELECT * FROM scored")
 def _(spark, d):
     return evaluate.match_cases(*case_rows(spark, d))
 
@@ -566,9 +595,7 @@ def _(spark, d):
 CASE_SQL = "SELECT l_returnflag AS source, l_orderkey AS case_id, (l_quantity::INT % 7)::BIGINT AS tp, (l_linenumber % 3)::BIGINT AS fp, (l_partkey % 4)::BIGINT AS fn, (l_quantity::INT % 3)::BIGINT AS category_hits FROM lineitem"
 
 
-@query("agg_prf", f"""SELECT source, tp, fp, fn, category_hits, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
-CASE WHEN tp = 0 THEN 0 ELSE category_hits / tp END AS category_accuracy FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall
-FROM (SELECT source, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(category_hits)::BIGINT AS category_hits FROM ({CASE_SQL}) GROUP BY ROLLUP (source)))""")
+@query("agg_prf", RATES_SQL.format("source", f"({CASE_SQL})"))
 def _(spark, d):
     n = F.col("l_quantity").cast("int")
     cases = table(spark, d, "lineitem").select(
@@ -578,7 +605,7 @@ def _(spark, d):
     return evaluate.rates(cases, ["source"])
 
 
-@query("agg_prf_by_case")
+@query("agg_prf_by_case", MATCH_SQL + RATES_SQL.format("case_id", "scored"))
 def _(spark, d):
     return evaluate.rates(evaluate.match_cases(*case_rows(spark, d)), ["case_id"])
 
@@ -601,11 +628,28 @@ def _(spark, d):
 
 # --- lines into fields --------------------------------------------------------
 
-@query("nrm_normalise")
+# lines of each rule of the normal form, what they become, and their tokens
+NORMAL = (
+    ("2 cups ( $0.98** ) rice", "2 cups  rice", "2|cups|rice"), ("2–3 cups", "2-3 cups", "2-3|cups"), ("2 cups—sifted", "2 cups - sifted", "2|cups|-|sifted"),
+    ("salt &amp; pepper", "salt & pepper", "salt|&|pepper"), ("&frac12; cup", "#1$2 cup", "#1$2|cup"), ("2½ cups", "2#1$2 cups", "2#1$2|cups"), ("1-½ cups", "1-#1$2 cups", "1-#1$2|cups"),
+    ("1 and 1/2 cups", "1#1$2 cups", "1#1$2|cups"), ("1 1/2 cups", "1#1$2 cups", "1#1$2|cups"), ("3⁄4 cup", "#3$4 cup", "#3$4|cup"), ("80/20 beef", "80/20 beef", "80|/|20|beef"),
+    ("500g flour", "500 g flour", "500|g|flour"), ("g500 flour", "g 500 flour", "g|500|flour"), ("cup-2 bags", "cup - 2 bags", "cup|-|2|bags"), ("two-cup jar", "two cup jar", "two|cup|jar"),
+    ("2 tbsp. oil", "2 tbsp oil", "2|tbsp|oil"), ("1 Tsp. salt", "1 Tsp salt", "1|Tsp|salt"), ("1 to 2 cups", "1-2 cups", "1-2|cups"), ("1 or 2 eggs", "1-2 eggs", "1-2|eggs"),
+    ("1 cup - 2 cups rice", "1-2 cup rice", "1-2|cup|rice"), ("100 g - 200 grams rice", "100-200 g rice", "100-200|g|rice"), ("1 cup - 2 bags rice", "1 cup - 2 bags rice", "1|cup|-|2|bags|rice"),
+    ("8 x 450g tins", "8x 450 g tins", "8x|450|g|tins"), ("1 - 2 apples", "1-2 apples", "1-2|apples"), ("salt and/or pepper (fine), e.g. sea.", "salt and/or pepper (fine), e.g. sea.", "salt|and/or|pepper|(|fine|)|,|e.g.|sea|."),
+)
+
+
+@query("nrm_normalise", lens.SQL + f""", examples(n, line, became, its) AS (VALUES {", ".join(f"({i}, {q(a)}, {q(b)}, {q(t)})" for i, (a, b, t) in enumerate(NORMAL))}),
+lined AS (SELECT DISTINCT concat_ws(' ', CASE WHEN quantity = floor(quantity) AND quantity > 0 THEN quantity::BIGINT::VARCHAR END, CASE WHEN unit IN ('cup', 'cups', 'clove', 'cloves', 'g') THEN unit END, trim(name)) AS rest FROM lens)
+SELECT trim(line || ' of ' || rest) AS line, trim(became || ' of ' || rest) AS normal, rtrim(its || '|of|' || replace(rest, ' ', '|'), '|') AS tokens FROM lined, examples""")
 def _(spark, d):
     rows = lens.line_text(lens.contributions(spark, d)).select("line").distinct()
-    rows = rows.withColumn("normal", before_references(F.concat(F.lit("1½-2 x ½ cup ($0.98) – "), F.col("line"))))
-    return after_references(rows, "normal").withColumn("tokens", F.array_join(tokenise(F.col("normal")), MARK))
+    # every line after each example
+    after = F.transform(F.array(*[F.lit(a) for a, _, _ in NORMAL]), lambda a: F.trim(F.concat(a, F.lit(" of "), F.col("line"))))
+    rows = rows.select(F.explode(after).alias("line"))
+    out = normalise(rows.withColumn("normal", F.col("line")), "normal")
+    return out.withColumn("tokens", F.array_join(tokenise(F.col("normal")), MARK))
 
 
 # tokens with what they are: numeric, singular, shape, value, canonical unit
