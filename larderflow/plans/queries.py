@@ -644,10 +644,10 @@ NORMAL = (
 lined AS (SELECT DISTINCT concat_ws(' ', CASE WHEN quantity = floor(quantity) AND quantity > 0 THEN quantity::BIGINT::VARCHAR END, CASE WHEN unit IN ('cup', 'cups', 'clove', 'cloves', 'g') THEN unit END, trim(name)) AS rest FROM lens)
 SELECT trim(line || ' of ' || rest) AS line, trim(became || ' of ' || rest) AS normal, rtrim(its || '|of|' || replace(rest, ' ', '|'), '|') AS tokens FROM lined, examples""")
 def _(spark, d):
-    rows = lens.line_text(lens.contributions(spark, d)).select("line").distinct()
-    # every line after each example
+    # every line after each example; made distinct last, so that the few distinct lines are not one task
+    rows = lens.line_text(lens.contributions(spark, d)).select("line")
     after = F.transform(F.array(*[F.lit(a) for a, _, _ in NORMAL]), lambda a: F.trim(F.concat(a, F.lit(" of "), F.col("line"))))
-    rows = rows.select(F.explode(after).alias("line"))
+    rows = rows.select(F.explode(after).alias("line")).distinct()
     out = normalise(rows.withColumn("normal", F.col("line")), "normal")
     return out.withColumn("tokens", F.array_join(tokenise(F.col("normal")), MARK))
 
