@@ -413,7 +413,18 @@ def _(spark, d):
     return flat(lines.choose_lines(got).select("recipe_id", "lines"))
 
 
-@query("src_readable_text")
+# the rules of readable text, as pattern and replacement, in order; the pages here hold no recipe data and four references
+READABLE = [
+    (r"(?s)<!--.*?-->", ""), (r"(?is)<head\b[^>]*>.*?</head\s*>", ""), *[(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ") for tag in pages.DROPPED],
+    (rf"(?i)</?(?:{pages.BLOCK_TAGS})\b[^>]*>", "\n"), (r"<[^>]*>", ""), (r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&"),
+]
+READABLE_SQL = "html"
+for _pattern, _new in READABLE:
+    READABLE_SQL = f"regexp_replace({READABLE_SQL}, {q(_pattern)}, {q(_new)}, 'g')"
+
+
+@query("src_readable_text", f"""SELECT page_id AS recipe_id, url AS source_url, text AS raw_text, CASE WHEN text = '' THEN 'no recipe content in ' || url END AS ingest_error
+FROM (SELECT page_id, url, trim({READABLE_SQL}, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM pages)""")
 def _(spark, d):
     got = pages.read_pages(table(spark, d, "pages"))
     return got.select("recipe_id", "source_url", "raw_text", "ingest_error")
