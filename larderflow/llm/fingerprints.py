@@ -20,6 +20,8 @@ from larderflow.llm.text import static
 LEAST = -(2**63)
 #: Bytes of hashes that may be broadcast; beyond it the joins shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Key ranges per shuffle partition, so that hashing them to tasks loads tasks alike; rows of one where tables are large; most of them.
+BLOCKS_PER_PARTITION, BLOCK_ROWS, MOST_BLOCKS = 8, 100_000, 16_384
 
 
 def canonical(text: Column) -> Column:
@@ -53,6 +55,11 @@ def collisions(docs: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     return scratch.table(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "collided")
 
 
+def _constants(values: list, kind: str) -> Column:
+    """An array of numbers that is one literal of the plan, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _with_next(docs: DataFrame, blocks: int) -> DataFrame:
     """Adds ``next``: the text of the next row in descending doc_id, after the last that of the first.
 
@@ -61,10 +68,11 @@ def _with_next(docs: DataFrame, blocks: int) -> DataFrame:
     and each text is shuffled once. The driver holds one id per block.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
-    cuts = docs.select(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], F.lit(10000))).first()[0] if blocks > 1 else []
+    at = _constants([i / blocks for i in range(1, blocks)] or [0.5], "double")
+    cuts = docs.select(F.percentile_approx(key, at, F.lit(max(10_000, 8 * blocks)))).first()[0] if blocks > 1 else []
     cuts = sorted(set(cuts or []), reverse=True)
     steps = [2**i for i in reversed(range(max(1, len(cuts)).bit_length()))]
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array(F.lit(LEAST))
+    bounds = _constants(cuts or [LEAST], "long")
     # binary search for the number of cuts above the key
     block = F.aggregate(
         F.array(*map(F.lit, steps)),
@@ -78,8 +86,8 @@ def _with_next(docs: DataFrame, blocks: int) -> DataFrame:
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     width = max(order) + 1
-    top = F.element_at(F.array(*[F.lit(heads.get(b)).cast("long") for b in range(width)]), F.col("block") + 1)
-    guest_of = F.element_at(F.array(*[F.lit(before.get(b, 0)) for b in range(width)]), F.col("block") + 1)
+    top = F.element_at(_constants([heads.get(b, LEAST) for b in range(width)], "long"), F.col("block") + 1)
+    guest_of = F.element_at(_constants([before.get(b, 0) for b in range(width)], "int"), F.col("block") + 1)
     homes = F.array(F.struct(F.col("block").alias("home"), F.lit(False).alias("guest")))
     both = F.concat(homes, F.array(F.struct(guest_of.alias("home"), F.lit(True).alias("guest"))))
     sent = keyed.withColumn("to", F.explode(F.when(F.col("key") == top, both).otherwise(homes))).select("doc_id", "key", "text", "to.*")
@@ -102,7 +110,7 @@ def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
     scratch = Scratch(spark, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     collided = collisions(docs, scratch, bits)
-    blocks = max(1, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = min(MOST_BLOCKS, max(BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // BLOCK_ROWS))
     rows = _with_next(docs, blocks)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

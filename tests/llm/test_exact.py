@@ -120,6 +120,16 @@ def test_fingerprints_bear_awkward_rows(spark, rows):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 40, 3000])
+def test_successors_at_any_number_of_key_ranges(spark, blocks):
+    ids = [((i * 7919) % 2003 - 1000) * 10**12 for i in range(2003)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)
+    order = sorted(ids, reverse=True)
+    want = {i: f"text {order[(at + 1) % len(order)]}" for at, i in enumerate(order)}
+    got = fingerprints._with_next(docs, blocks).collect()
+    assert len(got) == len(ids) and {r.doc_id: r.next for r in got} == want
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([5, 0, 17, 3], 4, 1)
     assert m.sum(axis=1).tolist() == [5, 0, 17, 3] and sorted(m.sum(axis=0)) == [6, 6, 6, 7]
