@@ -19,6 +19,15 @@ LEAST = (4, 5)
 #: 64-bit words of a parity bitmap.
 BITMAP = 8
 B = [f"b{w}" for w in range(BITMAP)]
+#: 64-bit words of a wide fingerprint. Sets of Jaccard similarity 0.8 are expected to differ in 19 of 128 bits (standard
+#: deviation 4), the smallest ones in 24, and unlike sets in 64 (standard deviation 6).
+WORDS = 2
+P = [f"p{w}" for w in range(WORDS)]
+#: Bands of a set, and least hashes in each. Sets of Jaccard similarity s share no band with probability (1 - s^4)^32, at 0.8 one in 20 million.
+BANDS, BAND = 32, 4
+K = [f"k{w}" for w in range(BANDS)]
+#: One fixed order of the shingles for each least hash: by their product with an odd number, modulo 2^64.
+ORDERS = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, (BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -41,6 +50,16 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """Names of the bands of a set of shingles, zeros for an empty one; sets share one if they agree in all its least hashes."""
+    out = np.zeros(BANDS, dtype=np.uint64)
+    if len(hashes):
+        parts = [hashes[None, at : at + 2048] for at in range(0, len(hashes), 2048)]
+        least = functools.reduce(np.minimum, [(ORDERS * part).min(axis=1) for part in parts])
+        out[:] = [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)]
+    return out
+
+
 def set_name(hashes: np.ndarray) -> int:
     """A signed 64-bit name of a set of shingles."""
     h = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
@@ -63,20 +82,22 @@ def _members(width: int):
     return over
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, width: int, least: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs ``u, v`` (names of sets) whose similarity is ``least`` or more.
+def verified(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, width: int, least: tuple[int, int], radius: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs ``u, v`` (names of sets) whose fingerprints are within ``radius`` and whose similarity is ``least`` or more.
 
-    ``nodes`` (set, key, n, bitmap words) names for each set a row of ``slim``
-    (key, text) that has it, its size and bitmap. Sizes and bitmaps rule most
-    pairs out; only the texts of sets in the rest are read into shingles again.
+    ``nodes`` (set, key, n, words of fingerprint and bitmap) names for each set a
+    row of ``slim`` (key, text) that has it, its size and bitmap. Fingerprints,
+    sizes and bitmaps rule most pairs out; only the texts of sets in the rest are
+    read into shingles again.
     """
     p, q = least
-    side = lambda s: nodes.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(b).alias(f"{b}_{s}") for b in B])
+    side = lambda s: nodes.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(b).alias(f"{b}_{s}") for b in (*P, *B)])
     near = pairs.distinct().join(side("u"), "u").filter("n_u > 0").join(side("v"), "v")
     small = q * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")
-    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in B])
+    bits = lambda words: functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in words])
+    apart = bits(B)
     # members that are shared: (n_u + n_v - members that differ) / 2
-    near = near.filter(small & ((p + q) * (F.col("n_u") + F.col("n_v") - apart) >= 2 * p * (F.col("n_u") + F.col("n_v"))))
+    near = near.filter((bits(P) <= radius) & small & ((p + q) * (F.col("n_u") + F.col("n_v") - apart) >= 2 * p * (F.col("n_u") + F.col("n_v"))))
     pairs = scratch.table(near.select("u", "v"), f"{name}-pairs")
     n = pairs.count()
     ends = pairs.select(F.col("u").alias("set")).union(pairs.select(F.col("v").alias("set"))).distinct()

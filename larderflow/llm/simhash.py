@@ -12,7 +12,9 @@ many edges as it has members, and no component loses a link.
 ``near_duplicates`` links by the fingerprints alone. ``similar`` finds documents
 of a given Jaccard similarity: wider fingerprints and a radius that such pairs
 stay within give candidates, whose sets of shingles are then compared. At that
-radius few tiles can be skipped, so it compares about all pairs of fingerprints.
+radius few tiles can be skipped, so it compares fingerprints where sets share a
+band of least hashes, which grows with the texts and with the groups that are
+alike, not with all pairs of texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.llm.components import components
-from larderflow.llm.likeness import BITMAP, LEAST, WIDTH, B, bitmap, set_name, shingles, texts, verified
+from larderflow.llm.likeness import BANDS, BITMAP, LEAST, WIDTH, WORDS, B, K, P, bands, bitmap, set_name, shingles, texts, verified
 from larderflow.llm.scratch import Scratch, arrow_batches
 
 RADIUS = 3
@@ -193,12 +195,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, keys: str | None = No
 
 # --- near-duplicates of a given Jaccard similarity ---------------------------
 
-#: 64-bit words of a wide fingerprint. Sets of Jaccard similarity 0.8 are expected to differ in 19 of 128 bits (standard
-#: deviation 4), the smallest ones in 24, and unlike sets in 64 (standard deviation 6).
-WORDS = 2
-#: Radius within which a forest of pairs is checked first, and within which all pairs are that it leaves apart.
-CLOSE, WIDE_RADIUS = 24, 40
-#: Wide fingerprints of a tile, about.
+#: Differing bits of the wide fingerprints up to which a pair's shingles are compared.
+WIDE_RADIUS = 40
+#: Wide fingerprints of a tile, which holds the sets of a band or part of them, about.
 WIDE_TILE = 32_768
 
 
@@ -219,7 +218,6 @@ def wide_print(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return out
 
 
-P = [f"p{w}" for w in range(WORDS)]
 #: Columns of bitmaps folded to half their bits, which goes on to bound the members that differ from below.
 SHORT = [f"s{w}" for w in range(BITMAP // 2)]
 
@@ -231,31 +229,28 @@ def _wide(width: int):
             longs = lambda rows, k: [pa.array(c) for c in np.array(rows, dtype=np.uint64).reshape(-1, k).T.view(np.int64)]
             columns = [b.column("doc_id"), b.column("key"), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             columns += longs([wide_print(s) for s in sets], WORDS) + longs([bitmap(s) for s in sets], BITMAP)
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "set", "n", *P, *B])
+            columns += longs([bands(s) for s in sets], BANDS)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "set", "n", *P, *B, *K])
 
     return over
 
 
-def alike(a: dict, b: dict | None, radius: int, least: tuple[int, int], forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets (as two arrays of names) between or within tiles whose fingerprints are within the radius.
+def alike(a: dict, b: dict | None, radius: int, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (as two arrays of names) between or within tiles whose labels differ and whose fingerprints are within the radius.
 
-    A tile is a dict of arrays: ``set``, ``n``, the words of the fingerprints and
-    of short bitmaps, and ``label`` without ``forest``: then pairs of one label are
-    left out. Pairs whose sizes or bitmaps rule out a similarity of ``least`` are
-    left out too. With ``forest`` only pairs are given that connect what all of
-    them connect.
+    A tile is a dict of arrays: ``set``, ``label``, ``n``, the words of the
+    fingerprints and of short bitmaps. Pairs whose sizes or bitmaps rule out a
+    similarity of ``least`` are left out.
     """
     p, q = least
     same, b = b is None, a if b is None else b
-    shift = 0 if same else len(a["set"])
-    parent = np.arange(shift + len(b["set"]))  # always of depth one
     rows = max(1, BLOCK // max(1, len(b["set"])))
     for first in range(0, len(a["set"]), rows):
         from_ = first if same else 0
         apart = functools.reduce(np.add, [np.bitwise_count(a[w][first : first + rows, None] ^ b[w][None, from_:]) for w in P])
         i, j = np.nonzero(apart <= radius)
         i, j = i + first, j + from_
-        keep = parent[i] != parent[shift + j] if forest else a["label"][i] != b["label"][j]
+        keep = a["label"][i] != b["label"][j]
         keep &= (i < j) if same else True
         i, j = i[keep], j[keep]
         n, m = a["n"][i], b["n"][j]
@@ -263,107 +258,89 @@ def alike(a: dict, b: dict | None, radius: int, least: tuple[int, int], forest:
         # members that are shared: (n + m - members that differ) / 2
         keep = (q * np.minimum(n, m) >= p * np.maximum(n, m)) & ((p + q) * (n + m - differ) >= 2 * p * (n + m))
         i, j = i[keep], j[keep]
-        if forest and len(i):
-            tree, up = np.zeros(len(i), dtype=bool), {}
-
-            def root(x: int) -> int:
-                while x in up:  # noqa: B023
-                    x = up[x]  # noqa: B023
-                return x
-
-            for k, (u, v) in enumerate(zip(parent[i].tolist(), parent[shift + j].tolist(), strict=True)):
-                u, v = root(u), root(v)
-                if u != v:
-                    tree[k], up[max(u, v)] = True, min(u, v)
-            if up:
-                moved = np.arange(len(parent))
-                for x in up:
-                    moved[x] = root(x)
-                parent = moved[parent]
-            i, j = i[tree], j[tree]
         if len(i):
-            yield a["set"][i], b["set"][j]
+            yield np.minimum(a["set"][i], b["set"][j]), np.maximum(a["set"][i], b["set"][j])
 
 
-def _alike(radius: int, least: tuple[int, int], forest: bool, fields: list[str]):
+#: What a tile holds of each set.
+FIELDS = ["set", "label", "n", *P, *SHORT]
+
+
+def _alike(radius: int, least: tuple[int, int]):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, of = {}, None
         for batch in batches:
             for n, row in enumerate(batch.select(["pair", "right"]).to_pylist()):
                 values = batch.column("rows")[n].values
-                tile = {name: values.field(name).to_numpy(zero_copy_only=False) for name in fields}
+                tile = {name: values.field(name).to_numpy(zero_copy_only=False) for name in FIELDS}
                 tile |= {w: tile[w].view(np.uint64) for w in (*P, *SHORT)}
                 # a pair's rows come one after the other, the left tile first; a tile's pair with itself has one row
                 if not row["right"]:
                     left, of = tile, row["pair"]
-                    if row["pair"][:2] != row["pair"][2:]:
+                    if of[1] != of[2]:
                         continue
                 assert row["pair"] == of
-                for u, v in alike(left, tile if row["right"] else None, radius, least, forest):
+                for u, v in alike(left, tile if row["right"] else None, radius, least):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return over
 
 
-def _bands(counts: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int]]:
-    """(least bit count, greatest, tiles) of consecutive bands of bit counts with about ``tile`` fingerprints in each of their tiles."""
-    bands, low, held = [], None, 0
-    for k, (bits, n) in enumerate(counts):
-        low, held = bits if low is None else low, held + n
-        if k + 1 == len(counts) or held + counts[k + 1][1] > tile:
-            bands.append((low, bits, -(-held // tile)))
-            low, held = None, 0
-    return bands
+def sharing(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``band, set, low`` for the sets of each band that several have; ``low`` is the least of them.
+
+    A band's least and greatest set are partial aggregates and are joined to its
+    sets as a plain table, so adaptive execution can split a band that many share.
+    """
+    spread = nodes.filter("n > 0").select("set", F.explode(F.array(*K)).alias("band"))
+    several = spread.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("band", "low")
+    several = scratch.table(several, "several")
+    shared = scratch.table(spread.join(several, "band").select("band", "set", "low"), "shared")
+    scratch.drop("several")
+    return shared
 
 
-def candidates(nodes: DataFrame, radius: int, least: tuple[int, int], forest: bool, scratch: Scratch, name: str, tile: int = WIDE_TILE) -> DataFrame:
-    """Pairs ``u, v`` of nodes (set, label, n, print and bitmap words) within the radius, as ``alike`` gives them.
+def candidates(shared: DataFrame, marked: DataFrame, radius: int, least: tuple[int, int], scratch: Scratch, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``u, v`` of sets (``marked``: set, label, n, fingerprint and bitmap words) of unlike labels in one band, as ``alike`` gives them.
 
-    Tiles are ranges of bit counts, cut by hash where they hold too much; two
-    tiles whose bit counts differ beyond the radius are skipped. Each tile is
-    sent once for each tile it is compared with. The driver sees one count for
-    each bit count.
+    Only bands with sets of several labels are compared. One of more than
+    ``tile`` sets is cut by hash, and each tile is sent once for each tile it is
+    compared with.
     """
-    spark = nodes.sparkSession
-    ones = sum((F.bit_count(w) for w in P[1:]), F.bit_count(P[0])).cast("int")
-    bands = _bands(sorted((r[0], r[1]) for r in nodes.groupBy(ones).count().collect()), tile) or [(0, 0, 1)]
-    fields = ["set", "n", *P, *SHORT] + ([] if forest else ["label"])
-    number = functools.reduce(lambda c, k: c.when(ones <= bands[k][1], k), range(1, len(bands)), F.when(ones <= bands[0][1], 0))
-    chunks = F.element_at(F.array(*[F.lit(b[2]) for b in bands]), F.col("band") + 1)
-    placed = nodes.withColumn("band", number).withColumn("chunk", F.pmod(F.xxhash64("set"), chunks).cast("int"))
-    tiles = scratch.table(placed.groupBy("band", "chunk").agg(F.collect_list(F.struct(*fields)).alias("rows")), f"{name}-tiles")
+    spark = marked.sparkSession
+    labelled = shared.select("band", "set").join(marked.select("set", "label"), "set")
+    # band, chunks, of the bands that are not of one label
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    mixed = scratch.table(mixed.select("band", F.ceil(F.col("n") / tile).cast("int").alias("chunks")), "mixed")
+    placed = scratch.table(shared.select("band", "set").join(mixed, "band").withColumn("chunk", F.expr("pmod(xxhash64(set), chunks)").cast("int")), "placed")
+    tiles = placed.join(marked.select(*FIELDS), "set").groupBy("band", "chunk").agg(F.max("chunks").alias("chunks"), F.collect_list(F.struct(*FIELDS)).alias("rows"))
+    tiles = scratch.table(tiles, "tiles")
 
     def partners(right: bool) -> DataFrame:
-        lists = []
-        for x, (low, high, _) in enumerate(bands):
-            others = [(y, b[2]) for y, b in enumerate(bands) if (y <= x if right else y >= x) and low - b[1] <= radius and b[0] - high <= radius]
-            lists.append(F.array(*[F.struct(F.lit(y).alias("band"), F.lit(c).alias("chunks")) for y, c in others]))
-        out = tiles.withColumn("other", F.explode(F.element_at(F.array(*lists), F.col("band") + 1)))
-        out = out.withColumn("other_chunk", F.explode(F.expr("sequence(0, other.chunks - 1)")))
-        own, other = [F.col("band"), F.col("chunk")], [F.col("other.band"), F.col("other_chunk")]
-        a, b = (other, own) if right else (own, other)
-        before = (a[0] < b[0]) | (a[1] < b[1] if right else a[1] <= b[1])
-        return out.filter(before).select(F.array(*a, *b).alias("pair"), F.lit(right).alias("right"), "rows")
-
-    near = [(x, y) for x in bands for y in bands if x <= y and y[0] - x[1] <= radius]
-    n = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * sum(x[2] * y[2] for x, y in near))
+        others = F.expr("sequence(0, chunk)" if right else "sequence(chunk, chunks - 1)")
+        out = tiles.withColumn("other", F.explode(others)).filter("other < chunk" if right else "true")
+        pair = ["other", "chunk"] if right else ["chunk", "other"]
+        return out.select(F.array("band", *[F.col(c).cast("long") for c in pair]).alias("pair"), F.lit(right).alias("right"), "rows")
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = partners(False).unionByName(partners(True)).repartition(n, "pair").sortWithinPartitions("pair", "right")
-    with arrow_batches(spark, 1):
-        found = scratch.table(dealt.mapInArrow(_alike(radius, least, forest, fields), "u long, v long"), f"{name}-within")
-    scratch.drop(f"{name}-tiles")
+    with arrow_batches(spark):
+        found = scratch.table(dealt.mapInArrow(_alike(radius, least), "u long, v long"), "within")
+    scratch.drop("mixed", "placed", "tiles")
     return found
 
 
 def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, int] = LEAST, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, key, label, component_id``.
 
-    Documents link if the wide fingerprints of their ``width``-word shingles are
-    within ``radius`` and the sets of shingles have a Jaccard similarity of
-    ``least`` or more, which is checked exactly, sets being equal if their 64-bit
-    names are. The default radius lies five standard deviations above the
-    expected distance at 0.8. A first round checks a forest of close candidates, a
-    second all candidates that are not in one component by then, so a large group
-    of near copies costs few checks and no candidate is left out. ``label`` names a
+    Documents link if the sets of their ``width``-word shingles share a band of
+    least hashes, their wide fingerprints are within ``radius`` and the sets have a
+    Jaccard similarity of ``least`` or more, which is checked exactly, sets being
+    equal if their 64-bit names are. The default radius lies five standard
+    deviations above the expected distance at 0.8. A first round checks each set
+    against the least one of each of its bands, a second all pairs of a band that
+    are not in one component by then, so a large group of near copies costs few
+    checks and no candidate is left out. ``label`` names a
     component, and ``component_id`` is its least doc_id (null if no document there
     has an id). Null text and text without words are alike, and unlike any other.
     ``keys`` names a long column that tells unlike rows of ``docs`` apart. An
@@ -372,7 +349,7 @@ def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, in
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(keys).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    longs = [*P, *B]
+    longs = [*P, *B, *K]
     with arrow_batches(spark):
         schema = "doc_id long, key long, set long, n long, " + ", ".join(f"{c} long" for c in longs)
         prints = scratch.table(slim.mapInArrow(_wide(width), schema), "prints")
@@ -381,14 +358,15 @@ def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, in
     nodes = scratch.table(nodes.withColumns(folded), "nodes")
     members = scratch.table(prints.select("doc_id", "key", "set"), "members")
     scratch.drop("prints")
-    first = candidates(nodes, min(CLOSE, radius), least, True, scratch, "first", tile)
-    first = verified(first, nodes, slim, width, least, scratch, "first")
+    shared = sharing(nodes, scratch)
+    first = shared.filter("set != low").select(F.col("low").alias("u"), F.col("set").alias("v"))
+    first = verified(first, nodes, slim, width, least, radius, scratch, "first")
     labels = scratch.table(components(first, scratch).withColumnRenamed("u", "set"), "labels")
     marked = nodes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     marked = marked.select("set", "label", "low", "n", *P, *SHORT)
     marked = scratch.table(marked, "marked")
-    second = candidates(marked, radius, least, False, scratch, "second", tile)
-    second = verified(second, nodes, slim, width, least, scratch, "second")
+    second = candidates(shared, marked, radius, least, scratch, tile)
+    second = verified(second, nodes, slim, width, least, radius, scratch, "second")
     # links between components of the first round; there are few
     name = lambda s: marked.select(F.col("set").alias(s), F.col("label").alias(f"label_{s}"))
     more = second.join(name("u"), "u").join(name("v"), "v").select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
@@ -397,7 +375,7 @@ def similar(docs: DataFrame, keys: str, width: int = WIDTH, least: tuple[int, in
     named = scratch.table(named, "named")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     found = scratch.table(named.join(lowest, "label").select("set", "label", "component_id"), "found")
-    scratch.drop("nodes", "marked", "named", "labels", "first-within", "second-within", "first", "second")
+    scratch.drop("nodes", "marked", "named", "labels", "shared", "within", "first", "second")
     # plain scans on both sides: adaptive execution can split a set of many copies
     return members.join(found, "set").select("doc_id", "key", "label", "component_id")
 

@@ -186,6 +186,40 @@ def test_pipeline_drops_copies_at_four_fifths(spark):
     assert sorted(r.doc_id for r in kept) == [a[0], c[0], d[0]]
 
 
+def test_sets_at_four_fifths_share_a_band():
+    rng = np.random.default_rng(3)
+    for shared, only in [(4, 1)] * 300 + [(8, 2)] * 300 + [(80, 20)] * 300 + [(4000, 1000)] * 20:
+        a = rng.integers(0, 2**64, shared + only, dtype=np.uint64)
+        assert (likeness.bands(a) == likeness.bands(a[:shared])).any()
+    a, b = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
+    assert (likeness.bands(a) == likeness.bands(rng.permutation(a))).all() and not (likeness.bands(a) == likeness.bands(b)).any()
+
+
+def test_unlike_texts_are_not_compared(spark, monkeypatch):
+    """What goes to comparisons is bounded by the texts, not by their pairs; groups just under the similarity are compared."""
+    real, sent = simhash._alike, spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        def over(batches):
+            def tap():
+                for b in batches:
+                    sent.add(len(b.column("rows").flatten()))
+                    yield b
+
+            return real(*args)(tap())
+
+        return over
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"u{w}" for w in rng.integers(0, 10**6, 60)) for _ in range(400)]
+    a, b, c, d = near_copies(0)[:4]
+    docs = cases.table(spark, [cases.doc(i, t) for i, t in enumerate([*texts, a[1], b[1], c[1], d[1]])])
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs, keys="doc_id", tile=50).collect()}
+    assert got == {i: i for i in range(404)} | {401: 400}
+    assert 0 < sent.value <= 404
+
+
 def test_likeness_of_nothing(spark):
     assert simhash.similar(cases.table(spark, []), keys="n_chars").collect() == []
 
